@@ -168,7 +168,7 @@ class PieceCodec:
             found = [[*ids, self.end] for ids in self.model.encode([t.decode() for t in texts], num_threads=1)]
             return [(ids, b" ".join(b"%d" % i for i in ids)) for ids in found]
         split = [[] if MARK in t else self._units(t) for t in texts]  # a mark of the text's own makes units unclear
-        new = list(set().union(*split) - self.known.keys())
+        new = [u for u in set().union(*split) if u not in self.known]
         if len(self.known) + len(new) > self.MOST:
             self.known = {}
             new = list(set().union(*split))

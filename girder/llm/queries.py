@@ -4,24 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from girder.llm import quality, secrets, sharding
 from girder.llm.common import table
 from girder.llm.near_dedup import near_dedup
+from girder.llm.piece_codec import piece_codec
 from girder.llm.substring_dedup import substring_dedup
+from girder.llm.token_counts import token_counts
+from girder.llm.token_store import token_round_trip
+
+WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), keep_text=False).drop("kept_text")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), full=False)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_token_counts": op2_token_counts,
+    "op4_token_files": op4_token_files,
     "op5_near_dedup": op5_near_dedup,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_quality_rules": op9_quality_rules,
+    "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_secret_scan": secrets.ORACLE,
+    "op9_quality_rules": quality.ORACLE,
+    "op10_sharding": sharding.ORACLE,
+}

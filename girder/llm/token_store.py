@@ -251,7 +251,7 @@ class WordEncoder:
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        new = list(set().union(*split) - self.known.keys())
+        new = [u for u in set().union(*split) if u not in self.known]
         if len(self.known) + len(new) > self.MOST:
             self.known = {}
             new = list(set().union(*split))
