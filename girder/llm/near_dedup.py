@@ -152,3 +152,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     out = signed.select("doc_id", "n", "k1", "k2").join(of_set, ["k1", "k2", "n"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs without the documents that near-duplicate one of a smaller doc_id; rows of one doc_id stay or go together."""
+    gone = near_dedup(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")

@@ -42,10 +42,10 @@ def less(column: str, letters: str) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """Counts of each text. Each step is a projection of its own, as arrays used in lambdas must stand as columns."""
+    """Counts of each text, and a digest of it as `key`. Each step is a projection of its own, as arrays used in lambdas must stand as columns."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("stratum"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     split = base.select(
-        "doc_id", "stratum",
+        "doc_id", "stratum", F.xxhash64("text").alias("key"),
         F.filter(F.split("text", SPACE), lambda w: w != "").alias("words"),
         F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0).alias("lines"),
         F.length(F.translate(F.col("text"), WHITE, "")).alias("word_chars"),
@@ -53,20 +53,20 @@ def features(docs: DataFrame) -> DataFrame:
     )
     spans = F.transform(F.sequence(F.lit(1), F.size("words") - (SPAN - 1)), lambda i: F.xxhash64(F.slice("words", i, SPAN)))
     hashed = split.select(
-        "doc_id", "stratum", F.size("words").alias("n_words"), "word_chars", "n_symbols", "n_capitals", "n_exclaims",
+        "doc_id", "stratum", "key", F.size("words").alias("n_words"), "word_chars", "n_symbols", "n_capitals", "n_exclaims",
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         F.when(F.size("words") > SPAN, spans).alias("spans"),
     )
     again = F.size("spans") > F.size(F.array_distinct("spans"))
-    counted = ["doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_capitals", "n_exclaims", "n_dup_lines"]
+    counted = ["doc_id", "stratum", "key", "n_words", "word_chars", "n_symbols", "n_capitals", "n_exclaims", "n_dup_lines"]
     ordered = hashed.select(*counted, F.when(again, F.array_sort(F.transform("spans", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("s"))
     same = lambda e, k: (F.get("s", k - 1)["h"] == e["h"]) | (F.get("s", k + 1)["h"] == e["h"])
     places = ordered.select(*counted, F.array_sort(F.transform(F.filter("s", lambda e, k: F.coalesce(same(e, k), F.lit(False))), lambda e: e["i"])).alias("at"))
     # each span adds the words that the one before it did not cover
     start = F.struct(F.lit(-SPAN).alias("last"), F.lit(0).alias("sum"))
     cover = F.aggregate("at", start, lambda a, p: F.struct(p.alias("last"), (a["sum"] + F.least(F.lit(SPAN), p - a["last"])).alias("sum")), lambda a: a["sum"])
-    longs = [F.col(c).cast("long").alias(c) for c in counted[2:]]
-    return places.select("doc_id", "stratum", *longs, F.coalesce(cover, F.lit(0)).cast("long").alias("n_repeat_words"))
+    longs = [F.col(c).cast("long").alias(c) for c in counted[3:]]
+    return places.select("doc_id", "stratum", "key", *longs, F.coalesce(cover, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
 def log_factorial(x: Column) -> Column:
@@ -109,15 +109,26 @@ def calibrate(measured: DataFrame, labels: DataFrame) -> DataFrame:
     return lowest.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed and kept of every row of docs."""
+def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     measured, _ = save(features(docs), "op9-features")
     found = measured.join(calibrate(measured, labels), "stratum", "left")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     rejects = F.lit(False)
     for rule, rate in rates().items():
         rejects = rejects | F.coalesce(rate >= F.col("cutoffs")[rule], F.lit(False))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~rejects).alias("kept"))
+    return found.withColumns({"base_failed": base, "kept": ~base & ~rejects})
+
+
+def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, the counts, base_failed and kept of every row of docs."""
+    return verdicts(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, with all their columns."""
+    kept = verdicts(docs, labels).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
+    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")) & (key == F.col("kept_key")), "left_semi")
 
 
 def _oracle() -> str:

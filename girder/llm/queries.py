@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from girder.llm import quality, secrets, sharding
+from girder.llm import decontam, quality, secrets, sharding, warc
 from girder.llm.common import table
 from girder.llm.near_dedup import near_dedup
 from girder.llm.piece_codec import piece_codec
@@ -26,6 +26,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS))
 
@@ -34,6 +38,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
@@ -53,8 +61,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
+    "op3_warc": op3_warc,
     "op4_token_files": op4_token_files,
     "op5_near_dedup": op5_near_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
@@ -62,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": warc.ORACLE,
     "op7_secret_scan": secrets.ORACLE,
     "op9_quality_rules": quality.ORACLE,
     "op10_sharding": sharding.ORACLE,
