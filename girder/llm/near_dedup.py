@@ -1,15 +1,17 @@
 """MinHash near-dedup with odd sketches.
 
 A document's set holds its distinct 5-word shingles (64-bit hashes; A-Z lower-cased). 128 MinHash samples make 32 bands
-of 4, which give candidates, and are folded into a 512-bit parity bitmap (odd sketch): the population count of the XOR of
-two bitmaps estimates how many samples differ, which discards candidates far below the threshold. The rest are confirmed
-on the full sets of both texts. A pair at the threshold of 0.75 shares no band with probability 5e-6, and is discarded by
-its sketch with probability below 1e-8.
+of 4, which give candidates, and are folded into a 512-bit parity bitmap (odd sketch); these and 512 more samples make a
+4096-bit one. The population count of the XOR of two bitmaps estimates how many samples differ: the small one discards
+candidates far below the threshold, the large one those below about 0.67. The rest are confirmed on the full sets of both
+texts. A pair at the threshold of 0.75 shares no band with probability 5e-6, and is discarded by its sketches with about
+the same probability.
 
 Documents of one set are one node (their smallest doc_id stands for them), so exact copies never meet. In each band's
 bucket all members are held against its smallest member only, and confirmed links are joined to components. Only where a
 bucket still holds several components, its members outside the main one are held against all members of other
-components; the sketch test is part of that join, so pairs of one component are never made.
+components; the sketch tests are part of that join, so pairs of one component are never made, and a pair comes from the
+first band that it shares only.
 
 Nulls and edge cases: null and empty texts have an empty set and are linked with nothing; a text of 1 to 4 words is one
 shingle; a null doc_id is never linked, has a null component_id and is kept; rows of one doc_id are one document; an
@@ -30,10 +32,13 @@ from girder.llm.common import Words, as_bytes, chunks, components, discard, mix,
 
 SHINGLE, PERCENT = 5, 75
 SAMPLES, ROWS, BITS = 128, 4, 512
+MORE_SAMPLES, FINE_BITS = 512, 4096
 BANDS = SAMPLES // ROWS
-MAX_APART = 110  # bits of two sketches that may differ; at a similarity of 0.75 it is 57 on average, with a deviation below 9
+MAX_APART = 110  # bits of two small sketches that may differ; at a similarity of 0.75 it is 57 on average, with a deviation below 10
+FINE_APART = 386  # the same of large ones: 296 on average, with a deviation of 20
 
 _MULTIPLY = np.random.default_rng(75).integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLY_MORE = np.random.default_rng(76).integers(0, 2**31, MORE_SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -57,23 +62,34 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], np.cumsum([len(s) for s in sets], dtype=np.int64))), np.concatenate(sets) if sets else np.empty(0, np.uint64)
 
 
-def signatures(starts: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bands, odd sketches) of non-empty sets: arrays of BANDS and BITS / 64 numbers."""
+def odd_sketch(samples: np.ndarray, bits: int) -> np.ndarray:
+    """Parity bitmaps, as bits / 64 numbers each, of columns of samples."""
+    k, n = samples.shape
+    bit = mix(samples + np.arange(k, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15), 5) % np.uint64(bits)
+    odd = np.zeros(n * bits, np.uint8)
+    places, times = np.unique(bit.astype(np.int64) + np.arange(n) * bits, return_counts=True)
+    odd[places] = times & 1
+    return np.packbits(odd.reshape(n, bits), axis=1).view(np.int64)
+
+
+def signatures(starts: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bands, small sketches, large sketches) of non-empty sets."""
     n = len(starts) - 1
-    samples = np.empty((SAMPLES, n), np.uint64)
+    samples = np.empty((SAMPLES + MORE_SAMPLES, n), np.uint64)
     for i in range(SAMPLES):
         samples[i] = np.minimum.reduceat(values * _MULTIPLY[i], starts[:-1])
+    half = (values >> np.uint64(32)).astype(np.uint32)
+    for i in range(MORE_SAMPLES):
+        samples[SAMPLES + i] = np.minimum.reduceat(half * _MULTIPLY_MORE[i], starts[:-1])
     samples = mix(samples)
     bands = np.zeros((BANDS, n), np.uint64)
     for r in range(ROWS):
-        bands = mix(bands ^ samples[r::ROWS], r + 1)
+        bands = mix(bands ^ samples[r:SAMPLES:ROWS], r + 1)
     bands = mix(bands + np.arange(BANDS, dtype=np.uint64)[:, None], 9)
-    bit = mix(samples + np.arange(SAMPLES, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15), 5) % np.uint64(BITS)
-    odd = np.bincount((bit.astype(np.int64) + np.arange(n) * BITS).ravel(), minlength=n * BITS).reshape(n, BITS) & 1
-    return bands.T.view(np.int64), np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+    return bands.T.view(np.int64), odd_sketch(samples[:SAMPLES], BITS), odd_sketch(samples, FINE_BITS)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("fine", pa.list_(pa.int64()))])
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,10 +99,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.concatenate(([np.uint64(0)], np.cumsum(mix(values, s)))) for s in (21, 22)]
         k1, k2 = ((s[starts[1:]] - s[starts[:-1]]).view(np.int64) for s in sums)
         full = np.flatnonzero(sizes)
-        bands, sketch = signatures(np.append(starts[full], len(values)), values) if len(full) else (np.empty((0, BANDS), np.int64),) * 2
+        made = signatures(np.append(starts[full], len(values)), values) if len(full) else (np.empty((0, BANDS), np.int64),) * 3
         where = np.full(len(sizes), -1)
         where[full] = np.arange(len(full))
-        lists = [pa.array([rows[j] if j >= 0 else None for j in where], pa.list_(pa.int64())) for rows in (bands, sketch)]
+        lists = [pa.array([rows[j] if j >= 0 else None for j in where], pa.list_(pa.int64())) for rows in made]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(sizes), pa.array(k1), pa.array(k2), *lists], schema=_SIGNED)
 
 
@@ -112,34 +128,42 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def apart(x: str, y: str) -> F.Column:
-    """Bits in which two sketches differ."""
+    """Bits in which two small sketches differ."""
     return F.expr(" + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(BITS // 64)))
 
 
+def close(x: str, y: str, fine_x: str, fine_y: str) -> F.Column:
+    """Whether two documents' sketches leave a similarity at the threshold possible."""
+    fine = F.aggregate(F.zip_with(fine_x, fine_y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    return F.when(apart(x, y) <= MAX_APART, fine <= FINE_APART).otherwise(False)
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed, signed_at = save(docs.mapInArrow(_sign, "doc_id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>"), "op5-signed")
+    signed, signed_at = save(docs.mapInArrow(_sign, "doc_id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>, fine array<long>"), "op5-signed")
     sets = signed.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"))
     nodes = signed.where("n > 0").join(sets.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    sketches = nodes.select("doc_id", "sketch").dropDuplicates(["doc_id"])
 
-    bands = nodes.select("doc_id", F.explode("bands").alias("band"))
+    bands = nodes.select("doc_id", F.posexplode("bands").alias("turn", "band"))
     pivots = bands.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot <> last").drop("last")
     members, members_at = save(bands.join(pivots, "band"), "op5-members")
     star = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star = star.join(sketches.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), "a")
-    star = star.join(sketches.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y")), "b").where(apart("x", "y") <= MAX_APART)
-    links, links_at = save(confirmed(star.select("a", "b"), docs), "op5-links")
+    sketches = nodes.select("doc_id", "sketch", "fine")
+    star = star.join(sketches.toDF("a", "x", "fx"), "a").join(sketches.toDF("b", "y", "fy"), "b").where(close("x", "y", "fx", "fy"))
+    links, links_at = save(confirmed(star.select("a", "b").distinct(), docs), "op5-links")
     found, found_at = components(links)
 
     # What the stars leave open: buckets that still hold several components.
     placed = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     several = placed.groupBy("band").agg(F.min_by("component", "doc_id").alias("main"), F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("size")).where("least <> most and size > 2").select("band", "main")
-    left = placed.join(several, "band").join(sketches, "doc_id")
-    others = left.where("component <> main and doc_id <> pivot").select("band", F.col("doc_id").alias("p"), F.col("component").alias("cp"), F.col("sketch").alias("x"))
-    against = left.where("doc_id <> pivot").select("band", F.col("doc_id").alias("q"), F.col("component").alias("cq"), F.col("sketch").alias("y"))
-    rest = others.join(against, [others.band == against.band, F.expr("cp <> cq"), apart("x", "y") <= MAX_APART])
+    left = placed.where("doc_id <> pivot").join(several, "band")
+    left = left.join(nodes.select("doc_id", "sketch", "fine", F.transform("bands", lambda b: b.bitwiseAND(0x7FFFFFFF).cast("int")).alias("own")), "doc_id")
+    others = left.where("component <> main").select("band", "turn", F.col("doc_id").alias("p"), F.col("component").alias("cp"), F.col("sketch").alias("x"), F.col("fine").alias("fx"), F.col("own").alias("op"))
+    against = left.select(F.col("band").alias("bucket"), F.col("doc_id").alias("q"), F.col("component").alias("cq"), F.col("main").alias("mq"), F.col("sketch").alias("y"), F.col("fine").alias("fy"), F.col("own").alias("oq"))
+    first = ~F.exists(F.slice(F.zip_with("op", "oq", lambda a, b: a == b), F.lit(1), F.col("turn")), lambda e: e)
+    once = F.expr("cp <> cq and (cq = mq or p < q)")  # two others meet from either side
+    rest = others.join(against, [F.col("band") == F.col("bucket"), F.when(once, F.when(close("x", "y", "fx", "fy"), first).otherwise(False)).otherwise(False)])
     rest, rest_at = save(rest.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "op5-rest")
     if not rest.isEmpty():
         more, more_at = save(links.union(confirmed(rest, docs)), "op5-links")
