@@ -17,6 +17,9 @@ text, nulls first; rows that repeat are stored each; an empty table makes a mani
 from __future__ import annotations
 
 import json
+import os
+import string
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -235,31 +238,74 @@ class TokenFiles(DataSource):
 
 class WordEncoder:
     """Ids of texts by the tokenizers library. No pattern or merge of such a tokenizer crosses white space, so each
-    distinct word is encoded once and its ids are kept, up to MOST words at a time."""
+    distinct word is encoded once and its ids are remembered: two generations of MOST words, so that frequent ones stay.
 
-    MOST = 400_000
+    Most new words are letters with marks behind. Those two parts never share a token, and each is one run whose last
+    token carries the word end, so many parts go to the library in one text and their ids are told apart by the word
+    ends; if their number is not as expected, each part is encoded by itself.
+    """
 
-    def __init__(self, path: str):
-        import os
+    MOST, AT_ONCE = 400_000, 512
+    MARKS = string.punctuation.replace("'", "")
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
+        self.kind = f"<u{self.width}"
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        groups = [parts[i : i + self.AT_ONCE] for i in range(0, len(parts), self.AT_ONCE)]
+        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups])):
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                raw, w = ids.tobytes(), self.width
+                self.parts.update((p, raw[a * w : b * w]) for p, a, b in zip(group, [0, *ends[:-1].tolist()], ends.tolist()))
+            else:
+                self.parts.update((p, i.tobytes()) for p, i in zip(group, self._ids(group)))
+
+    def _learn(self, words: list[bytes]) -> None:
+        if len(self.parts) > 2 * self.MOST:
+            self.parts = {"": b""}
+        split, hard = {}, []
+        for w in words:
+            s = w.decode()
+            s = s.lower() if s.isascii() else s
+            stem = s.rstrip(self.MARKS)
+            if stem.isalpha() and stem.lower().isalpha() and (s.isascii() or unicodedata.is_normalized("NFC", s)):
+                split[w] = stem, s[len(stem) :]
+            else:
+                hard.append(w)
+        self._learn_parts([p for p in {p for pair in split.values() for p in pair} if p not in self.parts])
+        self.known.update((w, self.parts[a] + self.parts[b]) for w, (a, b) in split.items())
+        self.known.update((w, i.tobytes()) for w, i in zip(hard, self._ids([w.decode() for w in hard])))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
-        new = [u for u in set().union(*split) if u not in self.known]
-        if len(self.known) + len(new) > self.MOST:
-            self.known = {}
-            new = list(set().union(*split))
-        kind, end = f"<u{self.width}", END_ID.to_bytes(self.width, "little")
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, kind).tobytes()
+        own = set().union(*split)
+        if len(self.known) > self.MOST:
+            self.known, self.before = {}, self.known
+        new = []
+        for w in own:
+            if w not in self.known:
+                if w in self.before:
+                    self.known[w] = self.before[w]
+                else:
+                    new.append(w)
+        self._learn(new)
+        end = END_ID.to_bytes(self.width, "little")
         return [b"".join(map(self.known.__getitem__, words)) + end for words in split]
 
 
