@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from girder.plans import scene_queries, source_queries
+
+QUERIES = scene_queries.QUERIES | source_queries.QUERIES
+ORACLE_SQL: dict[str, str] = scene_queries.ORACLE_SQL | source_queries.ORACLE_SQL
