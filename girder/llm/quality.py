@@ -128,7 +128,7 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
     kept = verdicts(docs, labels).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
     key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")) & (key == F.col("kept_key")), "left_semi")
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (key == kept["kept_key"]), "left_semi")
 
 
 def _oracle() -> str:

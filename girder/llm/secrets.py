@@ -196,7 +196,8 @@ def secret_scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each secret's characters replaced by its kind in square brackets; overlapping secrets are one."""
-    found = scan(docs)
+    whole = F.struct(*[docs[c] for c in docs.columns])  # apart from the columns made here, whatever their names
+    found = scan(docs.select(whole.alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def add(a: Column, x: Column) -> Column:
@@ -204,7 +205,8 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] >= a["at"], fresh).otherwise(a["out"]).alias("out"))
 
     clean = F.aggregate("found", start, add, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    return found.select(*[F.when(F.size("found") > 0, clean).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    text = F.when(F.size("found") > 0, clean).otherwise(F.col("row")["text"])
+    return found.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _oracle() -> str:
