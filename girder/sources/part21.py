@@ -15,7 +15,7 @@ HEADER_BYTES = 256 * 1024
 def files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, name, byte_length, sha256 and the first HEADER_BYTES as text."""
     found = spark.read.format("binaryFile").load(paths)
-    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("byte_length"), F.sha2("content", 256).alias("sha256"), F.decode(F.substring("content", 1, HEADER_BYTES), F.lit("ISO-8859-1")).alias("head"))
+    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("byte_length"), F.sha2("content", 256).alias("sha256"), F.decode(F.substring("content", 1, HEADER_BYTES), "ISO-8859-1").alias("head"))
 
 
 def schema_name(head: Column) -> Column:

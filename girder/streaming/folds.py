@@ -175,6 +175,8 @@ class Scheduler:
         names = [w[0] for w in wanted]
         if names != self.signature:
             self.signature, self.rejected = names, set()
+            for chunk, held in self.room.held.items():  # what is no longer wanted comes behind all that is
+                held["priority"] = names.index(chunk) if chunk in names else len(names)
         skipped, blocked = [], []
         for rank, (chunk, decoded, gpu) in enumerate(wanted):
             if chunk in self.room.held:
