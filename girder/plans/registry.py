@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from girder.plans import scene_queries, source_queries
+from girder.plans import geometry_queries, scene_queries, source_queries
 
-QUERIES = scene_queries.QUERIES | source_queries.QUERIES
-ORACLE_SQL: dict[str, str] = scene_queries.ORACLE_SQL | source_queries.ORACLE_SQL
+_ALL = (scene_queries, source_queries, geometry_queries)
+QUERIES: dict = {name: f for m in _ALL for name, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for m in _ALL for name, sql in m.ORACLE_SQL.items()}
