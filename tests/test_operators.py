@@ -90,7 +90,9 @@ def brute_leaves(boxes, capacity, path=""):
     return brute_leaves(boxes[:half], capacity, path + "0") | brute_leaves(boxes[half:], capacity, path + "1")
 
 
-def test_leaves(spark):  # G08
+@pytest.mark.parametrize("in_a_task", [1, 20, 1 << 16])
+def test_leaves(spark, monkeypatch, in_a_task):  # G08
+    monkeypatch.setattr(spatial, "TASK_BOXES", in_a_task)
     r = random.Random(3)
     boxes = [(f"id{i:03d}", *[v for _ in range(3) for a in [r.randint(0, 9)] for v in (a, a + r.randint(0, 3))]) for i in range(60)]
     columns = "id string, min_x long, max_x long, min_y long, max_y long, min_z long, max_z long"
