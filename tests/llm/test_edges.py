@@ -389,3 +389,15 @@ def test_pipeline(spark):
     alone = {i for i, c in label.items() if i == c}
     leaks = {r.doc_id for r in decontam.decontaminate(documents, spark.read.parquet(f"{d}/benchmark.parquet")).collect()}
     assert got == alone - leaks
+
+
+def test_long_items_are_found_where_copied(spark):
+    import random
+
+    r = random.Random(5)
+    made = lambda n: " ".join(f"{r.choice('abcdefgh')}{r.randrange(3000)}" for _ in range(n))
+    # each long item's passages differ, so no one window resembles the whole item
+    items = [(k, made(n)) for k, n in enumerate([100, 240, 360, 600, 1000] * 6)]
+    docs_ = spark.createDataFrame([(k, f"{made(50)} {t} {made(50)}") for k, t in items], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.common_words, r.item_words) for r in decontam.decontaminate(docs_, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sorted(got) == [(k, k) for k, _ in items] and all(c == n for c, n in got.values())
