@@ -401,3 +401,20 @@ def test_long_items_are_found_where_copied(spark):
     docs_ = spark.createDataFrame([(k, f"{made(50)} {t} {made(50)}") for k, t in items], "doc_id long, text string")
     got = {(r.doc_id, r.item_id): (r.common_words, r.item_words) for r in decontam.decontaminate(docs_, spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert sorted(got) == [(k, k) for k, _ in items] and all(c == n for c, n in got.values())
+
+
+def test_short_items_are_found_on_a_large_benchmark(spark):
+    import random
+
+    r = random.Random(6)
+    docs_ = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").select("doc_id", "text")
+    texts = [(x.doc_id, x.text.split()) for x in docs_.orderBy("doc_id").collect() if len(x.text.split()) > 40]
+    items, source = [], {}
+    for k in range(3000):
+        doc, t = r.choice(texts)
+        at = r.randrange(len(t) - 8)
+        items.append((k, " ".join(t[at : at + 8])))
+        source[k] = doc
+    long_enough = {i.item_id for i in decontam.items_of(items)}
+    got = {(r.doc_id, r.item_id) for r in decontam.decontaminate(docs_, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert sum((source[k], k) in got for k in long_enough) >= 0.99 * len(long_enough)
