@@ -179,11 +179,32 @@ def test_warc_predicates_reach_the_reader(spark, tmp_path):
 
 def test_elias_fano():
     r = np.random.default_rng(2)
-    for n in (1, 2, 63, 64, 65, 1000):
-        for top in (0, 1, 5, 10**6):
+    for n in (1, 2, 63, 64, 65, 129, 1000):
+        for top in (0, 1, 5, 10**6, 2**40):
             v = np.sort(r.integers(0, top + 1, n))
             e = token_store.EliasFano.from_bytes(token_store.EliasFano.of(v).to_bytes())
-            assert e.array().tolist() == v.tolist() and [e[i] for i in range(n)] == v.tolist()
+            assert [e[i] for i in range(n)] == v.tolist() and len(e.to_bytes()) < 60 + n * (3 + (top // n).bit_length()) / 8 + n / 16 + 8
+            for i in {0, n // 3, n - 1}:
+                for k in {1, n // 2, n - i}:
+                    assert e.slice(i, min(k, n - i)).tolist() == v[i : i + min(k, n - i)].tolist()
+            for x in (0, int(v[n // 2]), int(v[-1]), int(v[-1]) + 1):
+                assert e.first_at_least(x) == int(np.searchsorted(v, x))
+    with pytest.raises(ValueError):
+        token_store.EliasFano.of(np.array([3, 2]))
+
+
+def test_token_files_are_read_by_doc_id(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store._Reader, "ROWS", 7)
+    data = [(None if i < 3 else i * i - 500, "word " * (i % 9)) for i in range(120)]
+    path = f"file://{tmp_path}/tokens"
+    token_store.write_tokens(spark.createDataFrame(data, "doc_id long, text string"), WORDS, path)
+    all_ = token_store.read_tokens(spark, path, "doc_id long, start long, n_tokens long, ids array<long>")
+    rows = sorted(all_.collect(), key=lambda r: r.start)
+    assert [r.start for r in rows] == np.cumsum([0] + [r.n_tokens for r in rows[:-1]]).tolist() and all(len(r.ids) == r.n_tokens for r in rows)
+    for test in ("doc_id = 400", "doc_id > 13000", "doc_id between -400 and 99", "doc_id <= -491 and doc_id >= -491", "doc_id < -1000", "doc_id is not null", "doc_id is null"):
+        found = all_.where(test)
+        assert sorted(map(tuple, found.collect())) == sorted(tuple(r) for r in spark.createDataFrame(rows, all_.schema).where(test).collect()), test
+        assert (" Filter " in found._jdf.queryExecution().executedPlan().toString()) == (test == "doc_id is null")
 
 
 def test_token_store(docs, none):
@@ -198,19 +219,42 @@ def test_token_store(docs, none):
     assert token_store.token_round_trip(none, WORDS).count() == 0
 
 
-def test_word_encoder_equals_the_library():
+def test_part_encoder_equals_the_library():
     import random
 
     from tokenizers import Tokenizer
 
-    library, encoder = Tokenizer.from_file(WORDS), token_store.WordEncoder(WORDS)
-    parts = ["a", "B", "é", "é", " ", "\n", " ", "\xa0", "'s", "'", "3", "<|endoftext|>", "ß", "Σ", "ΑΣ", "İ", "́", "한", "ᄒ", "ᅡ", "🙂", "\x1c", "\x85", "​", "\t", "ﬁ", "</w>", ".", ",,", "###", "_", "²", "word"]
-    for i in range(1500):
-        r = random.Random(i)
-        s = "".join(r.choices(parts, k=r.randint(0, 14)))
+    library, encoder = Tokenizer.from_file(WORDS), token_store.PartEncoder(WORDS)
+    assert encoder.by_parts
+    parts = ["a", "B", "é", "é", "É", "Ö", "ж", "Ж", " ", "\n", " ", "\xa0", "'s", "'", "'LL", "l", "ve", "3", "<|endoftext|>", "<", "|", "ß", "Σ", "ΑΣ", "ς", "İ", "ı", "ſ", "ǆ", "ʹ", "ʰ", "ª", "́", "한", "ᄒ", "ᅡ", "🙂", "\x1c", "\x85", "​", "\t", "ﬁ", "</w>", ".", ",,", "###", "_", "²", "¼", "word", "ا", "ً", "א", "\0", "x"]
+    texts = ["".join(random.Random(i).choices(parts, k=random.Random(-i).randint(0, 14))) for i in range(6000)]
+    for i in range(0, len(texts), 50):
+        for s, ids in zip(texts[i : i + 50], encoder([t.encode() for t in texts[i : i + 50]])):
+            assert np.frombuffer(ids, encoder.kind).tolist() == [*library.encode(s, add_special_tokens=False).ids, 1], s
+    letters = "".join(map(chr, range(0x80, 0x800)))
+    for s in [f"a{c}b {c}' {c}, x{c}" for c in letters]:
         assert np.frombuffer(encoder([s.encode()])[0], encoder.kind).tolist() == [*library.encode(s, add_special_tokens=False).ids, 1], s
 
 
+def test_part_encoder_forgets_and_finds_again(monkeypatch):
+    monkeypatch.setattr(token_store.PartEncoder, "MOST", 50)
+    encoder, fresh = token_store.PartEncoder(WORDS), token_store.PartEncoder(WORDS)
+    r = np.random.default_rng(3)
+    for _ in range(30):
+        text = " ".join(f"w{x}" if x % 3 else f"été{'x' * (x % 7)}!" for x in r.integers(0, 200, 40)).encode()
+        fresh.now = fresh.before = token_store.Known(fresh.kind)
+        assert encoder([text, b"", text]) == fresh([text, b"", text])
+
+
+def test_tokenizers_of_other_kinds_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, s = token_store.PartEncoder(path), "Two  words,\n and more"
+    assert not encoder.by_parts
+    assert np.frombuffer(encoder([s.encode()])[0], encoder.kind).tolist() == [*Tokenizer.from_file(path).encode(s, add_special_tokens=False).ids, 1]
+
+
 def test_piece_codec(docs, none):
     import sentencepiece
 
@@ -273,6 +317,60 @@ def test_paraphrase_needs_the_answer():
     assert decontam.found(item, hashed("which tallest seven mountains river? the mount of it near gate the")) is None
 
 
+def test_short_answers_and_short_items():
+    hashed = lambda s: decontam.words_of([s.encode()]).hash.tolist()
+    item = decontam.items_of([(1, "Which river runs past the old northern capital of the kingdom? Arenthal.")])[0]
+    assert decontam.found(item, hashed("the river that runs past the northern capital kingdom is Arenthal")) == (8, True)
+    assert decontam.found(item, hashed("Arenthal the river that runs past the northern capital kingdom is")) is None
+    assert decontam.answer_of("How far is it to the sea, forty two miles") == "forty two miles" and decontam.answer_of("a b c d e f g h") == "f g h"
+    five = decontam.items_of([(2, "five words stand right here"), (3, "only four words stand")])
+    assert [i.item_id for i in five] == [2]
+    assert decontam.found(five[0], hashed("look: Five words stand right here.")) == (5, False) and decontam.found(five[0], hashed("five words stand here right")) is None
+
+
+def test_windows_are_searched_in_slices(monkeypatch):
+    r = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 400, n)).encode() for n in (3000, 0, 5, 40, 9, 700)]
+    words, projection = decontam.words_of(texts), r.standard_normal((decontam.FEATURES, 8)).astype(np.float32)
+    items = decontam.items_of([(k, " ".join(texts[0].decode().split()[k * 50 : k * 50 + 40])) for k in range(20)])
+    targets = decontam.targets_of(items, projection)[0]
+    whole = [set(zip(*(x.tolist() for x in decontam.candidates(words, projection, targets))))]
+    monkeypatch.setattr(decontam, "WINDOWS", 7)
+    monkeypatch.setattr(decontam, "TARGETS_AT_ONCE", 3)
+    whole.append(set(zip(*(x.tolist() for x in decontam.candidates(words, projection, targets)))))
+    assert len(whole[0]) >= 20 and len(whole[0] ^ whole[1]) <= 0.01 * len(whole[0])  # sums in another order
+
+
+def test_a_text_of_two_million_words(spark):
+    """Holds an item in its middle; a product of all its windows with all items would take gigabytes."""
+    r = np.random.default_rng(8)
+    w = np.char.add("v", r.integers(0, 50_000, 2_000_000).astype(str)).tolist()
+    w[1_000_000:1_000_000] = ITEM.split()
+    items = [(1, ITEM)] + [(k, " ".join(np.char.add("q", r.integers(0, 50_000, 40).astype(str)))) for k in range(2, 2000)]
+    long = spark.createDataFrame([(1, " ".join(w)), (2, "short")], "doc_id long, text string")
+    assert [(x.doc_id, x.item_id) for x in decontam.decontaminate(long, spark.createDataFrame(items, "item_id long, text string")).collect()] == [(1, 1)]
+
+
+def test_paraphrases_are_found_on_several_blocks(spark, monkeypatch):
+    """Half, or a little more, of an item's words in their order between other words, and its last sentence whole."""
+    import random
+
+    monkeypatch.setattr(decontam, "ITEMS_AT_ONCE", 100)
+    r = random.Random(7)
+    word = lambda: f"{r.choice('abcdefghij')}{r.randrange(2000)}"
+    items, docs_, want = [], [], set()
+    for k in range(300):
+        body, answer = [word() for _ in range(r.randrange(16, 50))], [word() for _ in range(4)]
+        items.append((k, " ".join(body) + ". " + " ".join(answer) + "."))
+        kept = set(r.sample(range(len(body)), round(0.6 * len(body))))
+        told = [w if i in kept else word() for i, w in enumerate(body)]
+        docs_.append((k, " ".join([word() for _ in range(60)] + told + answer + [word() for _ in range(60)])))
+        if decontam.found(decontam.items_of(items[-1:])[0], decontam.words_of([docs_[-1][1].encode()]).hash.tolist()):
+            want.add((k, k))
+    got = {(x.doc_id, x.item_id) for x in decontam.decontaminate(spark.createDataFrame(docs_, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 250 and len(want & got) >= 0.95 * len(want)
+
+
 def test_decontamination_finds_what_brute_force_finds(spark):
     d = "/root/testdata/sf0.001"
     docs_, items = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
@@ -308,6 +406,45 @@ def test_secrets_are_redacted(docs):
     assert by[12] == 'x [assign]" [access] [hex] TOKEN:abc [assign]' and by[1] is None and by[6] == LONG
 
 
+def test_many_secrets_in_one_text(spark):
+    """Places of 20,000 matches, and what is left of their text, in time that grows with the text."""
+    import time
+
+    text = "".join(f"né {i:06d} 🙂 token = {i:08x} {'0f' * 13} " for i in range(10_000))
+    docs_ = spark.createDataFrame([(1, text), (2, "token = 12345678"), (3, None)], "doc_id long, text string").repartition(1)
+    secrets.secret_scan(docs_.where("doc_id > 1")).collect()
+    secrets.redact(docs_.where("doc_id > 1")).collect()
+    began = time.time()
+    r = secrets.secret_scan(docs_).where("doc_id = 1").first()
+    middle = time.time()
+    clean = secrets.redact(docs_).where("doc_id = 1").first().text
+    assert clean == "".join(f"né {i:06d} 🙂 [assign] [hex] " for i in range(10_000))
+    assert (r.n_assign, r.n_hex) == (10_000, 10_000) and middle - began < 10 and time.time() - middle < 10
+    unit = len(f"né {0:06d} 🙂 token = {0:08x} {'0f' * 13} ")
+    assert r.spans.startswith("assign:12:28,hex:29:55") and r.spans.endswith(f"hex:{9_999 * unit + 29}:{9_999 * unit + 55}")
+
+
+def test_masks_at_the_borders_of_blocks(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(secrets, "LETTERS", 4)
+    monkeypatch.setattr(secrets, "SUMS", 3)
+    rows_ = []
+    for i in range(200):
+        r = random.Random(i)
+        text = "".join(r.choices("aé🙂\n", k=r.randint(1, 30)))
+        spots = sorted((a, 0, "k", r.randint(a + 1, len(text))) for a in (r.randrange(len(text)) for _ in range(r.randint(1, 12))))
+        out, at = "", 0
+        for a, _, k, b in spots:
+            out += text[at:a] + "[k]" if a >= at else ""
+            at = max(at, b)
+        rows_.append((text, spots, out + text[at:]))
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows_, f"text string, found array<{secrets.SPOT}>, want string")
+    assert df.where(secrets.masked(F.col("text"), F.col("found")) != F.col("want")).count() == 0
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("[0-9a-f]{24,}") == secrets.ANY
     assert secrets.trigram_query("ab(cd|ef)+x") == frozenset([frozenset(["abc", "bcd"]), frozenset(["abe", "bef"])]) or secrets.trigram_query("ab(cd|ef)+x") == secrets.ANY
@@ -358,6 +495,51 @@ def test_thresholds_keep_their_promise(spark):
     assert kept == set(range(3000))
 
 
+def brute_cutoffs(measured, good):
+    """stratum -> rule -> cutoff, in plain Python."""
+    from math import comb
+
+    rate = {
+        "symbols": lambda r: 1000 * r.n_symbols // r.word_chars, "capitals": lambda r: 1000 * r.n_capitals // r.word_chars, "exclaims": lambda r: 1000 * r.n_exclaims // r.word_chars,
+        "repeats": lambda r: 1000 * r.n_repeat_words // r.n_words, "lines": lambda r: 1000 * r.n_dup_lines // r.n_words,
+    }
+    rates = {}
+    for r in measured:
+        if r.doc_id in good:
+            part = int(hashlib.sha256(str(r.doc_id).encode()).hexdigest()[:2], 16) % 3 == 0
+            rates.setdefault(r.stratum, ([], []))[part].append({n: f(r) if r.n_words else 0 for n, f in rate.items()})
+    held = {s: x for s, x in rates.items() if x[0]}
+    out = {}
+    for s, (held_out, proposing) in held.items():
+        least = {n: next((k for k, c in enumerate(cuts) if 5 * sum(x[n] >= c for x in proposing) <= len(proposing) * quality.RISK), len(cuts)) for n, (_, cuts) in quality.RULES.items()}
+        for step in range(6):
+            cut = {n: cuts[max(5 - step, least[n])] if least[n] < 6 else 1e9 for n, (_, cuts) in quality.RULES.items()}
+            k, n = sum(any(x[r] >= c for r, c in cut.items()) for x in held_out), len(held_out)
+            if sum(comb(n, i) * quality.RISK**i * (1 - quality.RISK) ** (n - i) for i in range(k + 1)) > quality.LEVEL / len(held):
+                break
+            out[s] = {r: c for r, c in cut.items() if c < 1e9}
+    return out
+
+
+def test_cutoffs_equal_brute_force(spark):
+    """On tables large enough for several strata to admit cutoffs."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    measured = quality.features(spark.read.parquet(f"{d}/documents.parquet")).cache()
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    got = {r.stratum: {k: v for k, v in r.cutoffs.items() if v is not None} for r in quality.calibrate(measured, labels).collect()}
+    assert got == brute_cutoffs(measured.collect(), good) and len(got) >= 3
+
+
+def test_a_document_of_two_languages_is_judged_by_each(spark):
+    """One id and text in two strata: only the one with labels has a cutoff, and only its row goes."""
+    good = [(i, " ".join(f"word{i}a{k}" for k in range(30)), "en") for i in range(600)]
+    bad = " ".join(f"###wo%%$${k}" for k in range(30))
+    table = spark.createDataFrame([*good, (9999, bad, "en"), (9999, bad, "xx")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(600)], "doc_id long, quality int, toxic int")
+    assert [r.lang for r in quality.keep(table, labels).where("doc_id = 9999").collect()] == ["xx"]
+
+
 def test_sharding(docs, none):
     table = sharding.fill(sharding.shard_names(7), 997)
     counts = Counter(table)
