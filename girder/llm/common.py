@@ -6,6 +6,7 @@ character, so words are found on the encoded text.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,6 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,12 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_temporary: dict[str, str] = {}  # by application
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; where the session names none (tests), a temporary one becomes it."""
+    """The folder that all executors share. Where the session names none, a temporary one becomes it if all runs in one
+    process (tests); on a cluster that would lose data, so it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="girder-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _temporary.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="girder-")
+        _temporary[spark.sparkContext.applicationId] = base
     return base.rstrip("/")
 
 
@@ -44,6 +53,16 @@ def save(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def read_saved(path: str) -> pa.Table | None:
+    """A small table that `save` or a writer left in the shared folder, as a task reads it: any store that pyarrow opens.
+    None where nothing was written."""
+    store, at = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+    if store.get_file_info(at).type == fs.FileType.NotFound:
+        return None
+    files = [f.path for f in store.get_file_info(fs.FileSelector(at)) if f.base_name.endswith(".parquet")]
+    return pa.concat_tables([pq.ParquetFile(store.open_input_file(f)).read() for f in sorted(files)])
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(p)
