@@ -1,15 +1,21 @@
 """Quality rules with risk-controlled thresholds, in DataFrame operations only.
 
 Base rules are fixed. Beyond them each rule holds one rate of a document against a cutoff from a fixed grid. Labelled
-documents (quality 1 is good) of a stratum (language) tell how many good ones a cutoff would reject; by the exact
-binomial tail P(X <= false rejections | labelled good, RISK / rules), a cutoff is admitted only if its false-rejection
-rate is proven to be below RISK / rules at level LEVEL / tests. The tests are all strata x rules x cutoffs (Bonferroni),
-so with probability 1 - LEVEL no stratum loses more than RISK of its good documents to all rules together. The lowest
-admitted cutoff is used; a stratum with too few labels gets none and keeps its documents.
-
-Nulls and edge cases: a null or empty text has no words and fails the base rules; a null language is a stratum of its own;
-documents without labels only get verdicts; of several labels of a doc_id the best counts; null labels are ignored; rows
-that repeat are judged each; an empty table gives an empty result; only doc_id, text and lang are read.
+documents (quality 1 is good) are dealt in two by a digest of their doc_id: a third proposes, the rest is held out and
+decides. In each stratum (language) a rule's proposal is its lowest cutoff up to which at most RISK / rules of the
+proposing good documents are rejected. The settings to test form a ladder: at step j each rule has the j-th of its
+cutoffs from the loosest, but none below its proposal, so each step rejects whatever the one before does.
+
+The steps are tested in that order on the held-out good documents: a step passes if the exact binomial tail
+P(X <= false rejections | held-out good documents, RISK) is at most the stratum's level, and the first that fails ends the
+ladder. A fixed order needs no correction along the ladder. Over the strata the level is LEVEL / strata (Bonferroni), so with
+probability 1 - LEVEL no stratum loses more than RISK of its good documents to all rules together. The last step
+that passed is used; a stratum whose first step fails gets no cutoffs and keeps its documents.
+
+Nulls and edge cases: a null or empty text has no words and fails the base rules; a very long text is counted whole; a null
+language is a stratum of its own; documents without labels only get verdicts; of several labels of a doc_id the best
+counts; null labels are ignored; rows that repeat are judged each, and rows of one doc_id by their own text and language;
+a rate equal to its cutoff is rejected; an empty table gives an empty result; only doc_id, text and lang are read.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from pyspark.sql import functions as F
 from girder.llm.common import save
 
 MIN_WORDS, REPEAT_PERCENT, SPAN = 20, 30, 8
-RISK, LEVEL = 0.03, 0.05
+RISK, LEVEL = 0.05, 0.05
 TAIL_TERMS = 20_000
 WHITE, SYMBOLS, CAPITALS = " \t\n\x0b\f\r", "#*$%&|<>", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -33,7 +39,7 @@ RULES: dict[str, tuple[str, list[int]]] = {
     "repeats": ("1000 * n_repeat_words DIV n_words", [50, 100, 150, 200, 250, 300]),
     "lines": ("1000 * n_dup_lines DIV n_words", [5, 10, 20, 30, 50, 100]),
 }
-TEST_RISK = RISK / len(RULES)
+STEPS = max(len(cuts) for _, cuts in RULES.values())
 
 
 def less(column: str, letters: str) -> Column:
@@ -97,16 +103,43 @@ def rates() -> dict[str, Column]:
     return {r: F.expr(f"CASE WHEN n_words > 0 THEN {rate} ELSE 0 END") for r, (rate, _) in RULES.items()}
 
 
+def proposes() -> Column:
+    """Whether a labelled doc_id is of the third that proposes, by the first byte of its digest."""
+    return F.conv(F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 2), 16, 10).cast("int") % 3 == 0
+
+
 def calibrate(measured: DataFrame, labels: DataFrame) -> DataFrame:
-    """stratum and the cutoffs (map from rule to lowest admitted cutoff), by labelled documents."""
+    """stratum and the cutoffs (map from rule to cutoff) of its last step that passed, by labelled documents."""
     best = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
-    good = measured.join(best.where("quality = 1").select("doc_id"), "doc_id")
-    grid = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), (rates()[r] >= c).cast("long").alias("rejects")) for r, (_, cuts) in RULES.items() for c in cuts])
-    tests = good.select("stratum", F.explode(grid).alias("t")).groupBy("stratum", "t.rule", "t.cutoff").agg(F.count(F.lit(1)).alias("n"), F.sum("t.rejects").alias("k"))
-    total = tests.agg(F.count(F.lit(1)).alias("tests"))
-    held = tests.crossJoin(total).where(binomial_tail(F.col("k"), F.col("n"), TEST_RISK) <= F.lit(LEVEL) / F.col("tests"))  # total is one row
-    lowest = held.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
-    return lowest.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cutoffs"))
+    good = measured.join(best.where("quality = 1").select("doc_id"), "doc_id").select("stratum", proposes().alias("proposing"), *[r.alias(f"r_{name}") for name, r in rates().items()])
+
+    # each rule's proposal, as a place in its grid: the lowest cutoff that spares enough of the proposing documents
+    rejected = [F.sum((F.col("proposing") & (F.col(f"r_{r}") >= c)).cast("long")).alias(f"{r}_{k}") for r, (_, cuts) in RULES.items() for k, c in enumerate(cuts)]
+    seen = good.groupBy("stratum").agg(F.count_if("proposing").alias("n"), *rejected)
+
+    def proposal(r: str) -> Column:
+        spared = [F.col(f"{r}_{k}") * len(RULES) <= F.col("n") * RISK for k in range(len(RULES[r][1]))]
+        place = F.lit(len(spared))  # none
+        for k in reversed(range(len(spared))):
+            place = F.when(spared[k], k).otherwise(place)
+        return place
+
+    proposed = seen.select("stratum", *[proposal(r).alias(f"p_{r}") for r in RULES])
+    steps = proposed.select("stratum", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("step"), *[f"p_{r}" for r in RULES])
+    cutoff = lambda r, cuts: F.get(F.array(*map(F.lit, cuts)), F.greatest(F.lit(len(cuts) - 1) - F.col("step"), F.col(f"p_{r}")))
+    ladder = steps.select("stratum", "step", *[cutoff(r, cuts).alias(f"c_{r}") for r, (_, cuts) in RULES.items()])
+
+    # a row for each stratum and step, so the join multiplies held-out documents by STEPS and is summed at once
+    any_ = F.lit(False)
+    for r in RULES:
+        any_ = any_ | F.coalesce(F.col(f"r_{r}") >= F.col(f"c_{r}"), F.lit(False))
+    tests = good.where("not proposing").join(ladder, "stratum").groupBy("stratum", "step", *[f"c_{r}" for r in RULES]).agg(F.count(F.lit(1)).alias("n"), F.sum(any_.cast("long")).alias("k"))
+    strata = tests.agg(F.count_distinct("stratum").alias("strata"))
+    passed = tests.crossJoin(strata).withColumn("passes", binomial_tail(F.col("k"), F.col("n"), RISK) <= F.lit(LEVEL) / F.col("strata"))  # strata is one row
+    failed = passed.where("not passes").groupBy(F.col("stratum").alias("s")).agg(F.min("step").alias("stop"))
+    last = passed.join(failed, F.col("stratum") == F.col("s"), "left").where("stop is null or step < stop")
+    cuts = F.create_map(*[x for r in RULES for x in (F.lit(r), F.col(f"c_{r}"))])
+    return last.groupBy("stratum").agg(F.max_by(cuts, "step").alias("cutoffs"))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -126,20 +159,24 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are kept, with all their columns."""
-    kept = verdicts(docs, labels).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key"))
-    key = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (key == kept["kept_key"]), "left_semi")
+    kept = verdicts(docs, labels).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("stratum").alias("kept_stratum"), F.col("key").alias("kept_key")).distinct()
+    key, stratum = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))), F.coalesce(docs["lang"].cast("string"), F.lit(""))
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_id"]) & (stratum == kept["kept_stratum"]) & (key == kept["kept_key"]), "left_semi")
 
 
 def _oracle() -> str:
-    grid = ", ".join(f"('{r}', {c})" for r, (_, cuts) in RULES.items() for c in cuts)
-    rate = " ".join(f"WHEN '{r}' THEN {e.replace('DIV', '//')}" for r, (e, _) in RULES.items())
+    rate = {r: e.replace("DIV", "//") for r, (e, _) in RULES.items()}
+    rejected = ", ".join(f"count(*) FILTER (proposing AND r_{r} >= {c}) AS {r}_{k}" for r, (_, cuts) in RULES.items() for k, c in enumerate(cuts))
+    place = lambda r, n: "CASE " + " ".join(f"WHEN {r}_{k} * {len(RULES)} <= n * {RISK} THEN {k}" for k in range(n)) + f" ELSE {n} END"
+    cut = lambda r, cuts: f"list_extract([{', '.join(map(str, cuts))}], 1 + greatest({len(cuts) - 1} - step, {place(r, len(cuts))})::INT) AS c_{r}"
+    any_ = lambda a: " OR ".join(f"coalesce({a}r_{r} >= c_{r}, false)" for r in RULES)
+    rates_ = ", ".join(f"CASE WHEN n_words > 0 THEN {e} ELSE 0 END AS r_{r}" for r, e in rate.items())
     return rf"""
 WITH base AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents
 ), cut AS (
-  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM base
+  SELECT *, regexp_extract_all(text, '[^ 	-]+') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM base
 ), spans AS (
   SELECT rid, i, list_slice(words, i, i + 7) AS span, len(words) AS n FROM cut, LATERAL (SELECT unnest(range(1, len(words) - 6)) AS i)
 ), again AS (
@@ -147,22 +184,25 @@ WITH base AS (
 ), covered AS (
   SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM again, (SELECT unnest(range(0, 8)) AS j) GROUP BY rid
 ), f AS (
-  SELECT doc_id, stratum, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  SELECT doc_id, stratum, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[ 	-]+', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(text, '[^A-Z]+', '', 'g'))::BIGINT AS n_capitals,
     length(regexp_replace(text, '[^!]+', '', 'g'))::BIGINT AS n_exclaims, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM cut LEFT JOIN covered USING (rid)
+), rated AS (SELECT *, {rates_} FROM f
 ), good AS (
-  SELECT f.* FROM f JOIN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1) USING (doc_id)
-), grid(rule, cutoff) AS (VALUES {grid}
+  SELECT rated.*, ('0x' || substr(sha256(doc_id::VARCHAR), 1, 2))::INT % 3 = 0 AS proposing
+  FROM rated JOIN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1) USING (doc_id)
+), seen AS (SELECT stratum, count(*) FILTER (proposing) AS n, {rejected} FROM good GROUP BY 1
+), ladder AS (SELECT stratum, step, {", ".join(cut(r, cuts) for r, (_, cuts) in RULES.items())} FROM seen, (SELECT unnest(range(0, {STEPS})) AS step)
 ), tests AS (
-  SELECT stratum, rule, cutoff, count(*) AS n, count(*) FILTER (n_words > 0 AND (CASE rule {rate} END) >= cutoff) AS k FROM good, grid GROUP BY ALL
-), held AS (
-  SELECT stratum, rule, min(cutoff) AS cutoff FROM tests, (SELECT count(*) AS m FROM tests)
-  WHERE k < n * {TEST_RISK} AND list_sum(list_transform(range(0, k + 1), lambda i:
-    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({TEST_RISK}) + (n - i) * ln(1 - {TEST_RISK})))) <= {LEVEL} / m GROUP BY ALL
+  SELECT stratum, step, count(*) AS n, count(*) FILTER ({any_('')}) AS k FROM good JOIN ladder USING (stratum) WHERE NOT proposing GROUP BY 1, 2
+), failed AS (
+  SELECT stratum, min(step) FILTER (NOT passes) AS stop FROM (SELECT *, k < n * {RISK} AND list_sum(list_transform(range(0, k + 1), lambda i:
+    exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK})))) <= {LEVEL} / (SELECT count(DISTINCT stratum) FROM tests) AS passes FROM tests) GROUP BY 1
+), used AS (
+  SELECT l.* FROM ladder l JOIN failed USING (stratum) WHERE step = coalesce(stop, {STEPS}) - 1
 ), verdict AS (
-  SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed,
-    EXISTS (SELECT 1 FROM held WHERE held.stratum = f.stratum AND f.n_words > 0 AND (CASE rule {rate} END) >= cutoff) AS rejected FROM f
+  SELECT rated.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed, used.stratum IS NOT NULL AND ({any_('')}) AS rejected FROM rated LEFT JOIN used USING (stratum)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM verdict"""
 
