@@ -1,19 +1,22 @@
 """Secret scans over a trigram inverted index, in DataFrame operations only.
 
-Each rule's regular expression is read as a Boolean query over trigrams that any match must hold. The index has postings
-for the trigrams that occur in some query; a document's postings are intersected as bits, and rules whose query holds
-for it are verified by running their expressions. Rules without a mandatory trigram run over every text. A match's place
-comes from the lengths of the pieces between the matches, so all places of a text take one pass.
+Each rule's regular expression is read as a Boolean query over trigrams that any match must hold: any of some sets, whole.
+The index has a posting for each document and trigram that occurs in some query, made in one pass over the texts. A set's
+postings are intersected by counting them by document; rules whose query holds for a document are verified by running
+their expressions once. Rules without a mandatory trigram run over every text. A match's place comes from the lengths of
+the pieces between the matches and of the matches, summed up in blocks, so the work on a text grows in proportion to it.
 
 Nulls and edge cases: a null text is empty; a null doc_id is scanned like any other; rows that share a doc_id are
-candidates for the rules of any of them, which verification settles; touching matches of different rules stay apart in
-`spans` and are merged when redacted; an empty table gives an empty result; columns beyond doc_id and text are kept by
-`redact` and ignored by `scan`.
+candidates for the rules of any of them, which verification settles; very long texts and texts of many matches are scanned
+whole; touching matches of different rules stay apart in `spans` and are merged when redacted, where of several that start
+together the rule listed first names it; rows that repeat are scanned each; an empty table gives an empty result; columns
+beyond doc_id and text are kept by `redact`, whatever their names, and ignored by `secret_scan`.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
@@ -46,7 +49,7 @@ MORE = [
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
     Rule("stripe", r"[rs]k_live_[0-9A-Za-z]{16,}"),
-    Rule("login", r"[a-z]+://[^\s:@/]+:[^\s:@/]+@"),
+    Rule("login", r"[a-z]{2,16}://[^\s:@/]{1,256}:[^\s:@/]{1,256}@"),  # bounded, or a long run of letters takes quadratic time
 ]
 RULES = BASE + MORE
 _MANY = 64  # strings that a part of an expression may stand for before it is cut into trigrams
@@ -121,32 +124,62 @@ def trigram_query(pattern: str) -> Query:
 
 
 def index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """Postings (doc_id, trigram number) of the given trigrams."""
-    low = docs.select("doc_id", F.lower("text").alias("low"))
-    numbers = F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)])
-    return low.select("doc_id", F.explode(F.array_compact(numbers)).alias("number"))
+    """Postings (trigram, doc_id), each once, of the given trigrams."""
+    # what starts at each place; the classes of the three letters turn most places down before the trigrams are tried
+    classes = "".join("[" + "".join(sorted({re.escape(t[k]) for t in trigrams})) + "]" for k in range(3))
+    pattern = f"(?={classes})(?=({'|'.join(map(re.escape, trigrams))}))"
+    held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(1)))
+    return docs.select("doc_id", F.explode(held).alias("trigram")).distinct()
 
 
 def candidates(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """key_id (the doc_id) and the numbers of the rules whose query its postings satisfy; rules that ask for nothing are left out."""
-    queries = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) != ANY}
-    trigrams = sorted({t for q in queries.values() for s in q for t in s})
-    word = lambda n: [F.when(F.col("number").between(63 * w, 63 * w + 62), F.expr("1L << (number % 63)")).otherwise(F.lit(0).cast("long")) for w in range(-(-n // 63))]
-    bits = index(docs, trigrams).groupBy("doc_id").agg(*[F.bit_or(c).alias(f"b{w}") for w, c in enumerate(word(len(trigrams)))])
-
-    def holds(query: Query) -> Column:
-        found = F.lit(False)
-        for need in query:
-            masks = [sum(1 << (trigrams.index(t) % 63) for t in need if trigrams.index(t) // 63 == w) for w in range(-(-len(trigrams) // 63))]
-            one = F.lit(True)
-            for w, m in enumerate(masks):
-                if m:
-                    one = one & (F.col(f"b{w}").bitwiseAND(F.lit(m)) == m)
-            found = found | one
-        return found
-
-    which = F.array_compact(F.array(*[F.when(holds(q), F.lit(i)) for i, q in queries.items()]))
-    return bits.select(F.col("doc_id").alias("key_id"), which.alias("which")).where(F.size("which") > 0)
+    """key_id (the doc_id) and `which`, the numbers of the rules whose query its postings satisfy; rules that ask for nothing are left out."""
+    sets = [(i, need) for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) != ANY for need in sorted(q, key=sorted)]
+    trigrams = sorted({t for _, need in sets for t in need})
+    named = {t: F.array(*[F.lit(k) for k, (_, need) in enumerate(sets) if t in need]) for t in trigrams}
+    asking = F.create_map(*[x for t, ks in named.items() for x in (F.lit(t), ks)])
+    each = index(docs, trigrams).select("doc_id", F.explode(asking[F.col("trigram")]).alias("set"))
+    whole = each.groupBy("doc_id", "set").agg(F.count(F.lit(1)).alias("n"))
+    size, rule = (F.array(*map(F.lit, values)) for values in ([len(need) for _, need in sets], [i for i, _ in sets]))
+    return whole.where(F.col("n") == F.get(size, F.col("set"))).groupBy(F.col("doc_id").alias("key_id")).agg(F.collect_set(F.get(rule, F.col("set"))).alias("which"))
+
+
+SUMS = 128  # numbers that are summed up one after another
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where the value is worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, fold: Callable[[Column, Column], Column]) -> Column:
+    """The fold (a sum or a greatest of numbers from 0 on) up to each number. Appending copies an array, so it is done in
+    blocks of SUMS, then over the blocks."""
+    zero = F.lit(0)
+
+    def block(b: Column) -> Column:
+        return F.aggregate(b, F.expr("array()").cast("array<int>"), lambda a, x: F.array_append(a, fold(F.coalesce(F.get(a, F.size(a) - 1), zero), x)))
+
+    def joined(blocks: Column) -> Column:
+        base = F.aggregate(blocks, F.array(zero), lambda a, b: F.array_append(a, fold(F.element_at(a, -1), F.element_at(b, -1))))
+        return let(base, lambda t: F.flatten(F.transform(blocks, lambda b, k: F.transform(b, lambda x: fold(F.get(t, k), x)))))
+
+    cut = let(values, lambda v: F.transform(F.sequence(zero, F.floor((F.size(v) - 1) / SUMS).cast("int")), lambda k: block(F.slice(v, k * SUMS + 1, F.lit(SUMS)))))
+    return let(cut, joined)
+
+
+SPOT = "struct<start:int,turn:int,kind:string,end:int>"
+
+
+def places(i: int, r: Rule) -> Column:
+    """The spots of rule i, from the columns m<i>, its matches, and p<i>, the pieces of the text between them."""
+    match, piece = F.col(f"m{i}"), F.col(f"p{i}")
+    # a match by itself is matched as it was in the text, as no expression looks beyond its match
+    own = F.transform(match, lambda m: F.length(m if r.group == 0 else F.regexp_extract(m, r.regex, r.group)))
+    steps = F.zip_with(F.slice(piece, F.lit(1), F.size(match)), match, lambda p, m: F.length(p) + F.length(m))
+    spots = let(running(steps, lambda a, b: a + b), lambda ends: F.transform(match, lambda m, k: F.struct((F.get(ends, k) - F.length(m)).alias("start"), F.lit(i).alias("turn"), F.lit(r.kind).alias("kind"), F.get(ends, k).alias("end"))))
+    long_enough = let(own, lambda g: F.filter(spots, lambda s, k: F.get(g, k) >= r.least))
+    return F.when(F.size(match) > 0, long_enough.cast(f"array<{SPOT}>")).otherwise(F.expr("array()").cast(f"array<{SPOT}>"))
 
 
 def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
@@ -156,28 +189,9 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     joined = text.join(candidates(text, rules), F.col("doc_id").eqNullSafe(F.col("key_id")), "left").drop("key_id")
     none = F.expr("array()").cast("array<string>")
     run = lambda i: F.lit(True) if i in open_ else F.coalesce(F.array_contains("which", i), F.lit(False))
-    kept = docs.columns
+    kept, turns = docs.columns, range(len(rules))
     matched = joined.select(*kept, *[F.when(run(i), F.regexp_extract_all("text", F.lit(r.regex), F.lit(0))).otherwise(none).alias(f"m{i}") for i, r in enumerate(rules)])
-    full = lambda i: F.size(f"m{i}") > 0
-    pieces = matched.select(
-        *kept, *[f"m{i}" for i in range(len(rules))],
-        *[F.when(full(i), F.split("text", r.regex, -1)).otherwise(none).alias(f"p{i}") for i, r in enumerate(rules)],
-        *[F.when(full(i), F.transform(F.regexp_extract_all("text", F.lit(r.regex), F.lit(r.group)), F.length)).otherwise(F.expr("array()").cast("array<int>")).alias(f"g{i}") for i, r in enumerate(rules)],
-    )
-    spot = "struct<start:int,turn:int,kind:string,end:int>"
-
-    def places(i: int, r: Rule) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.expr("array()").cast(f"array<{spot}>").alias("out"))
-
-        def add(a: Column, k: Column) -> Column:
-            begin = a["at"] + F.length(F.get(f"p{i}", k))
-            end = begin + F.length(F.get(f"m{i}", k))
-            one = F.struct(begin.alias("start"), F.lit(i).alias("turn"), F.lit(r.kind).alias("kind"), end.alias("end")).cast(spot)
-            return F.struct(end.alias("at"), F.when(F.get(f"g{i}", k) >= r.least, F.array_append(a["out"], one)).otherwise(a["out"]).alias("out"))
-
-        steps = F.sequence(F.lit(0), F.size(f"m{i}") - 1)
-        return F.when(full(i), F.aggregate(steps, start, add, lambda a: a["out"])).otherwise(F.expr("array()").cast(f"array<{spot}>"))
-
+    pieces = matched.select(*kept, *[f"m{i}" for i in turns], *[F.when(F.size(f"m{i}") > 0, F.split("text", r.regex, -1)).otherwise(none).alias(f"p{i}") for i, r in enumerate(rules)])
     return pieces.select(*kept, F.array_sort(F.concat(*[places(i, r) for i, r in enumerate(rules)])).alias("found"))
 
 
@@ -194,18 +208,36 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
 
 
+LETTERS = 1024  # of the blocks that a text is cut into, as a place in a string is found by counting from its start
+
+
+def masked(text: Column, found: Column) -> Column:
+    """The text with its spots replaced by their kinds. A spot that begins within an earlier one is part of it."""
+    letters = F.lit(LETTERS)
+
+    def made(blocks: Column, spots: Column, ends: Column) -> Column:
+        def piece(a: Column, b: Column) -> Column:
+            i, j = F.floor(a / letters).cast("int"), F.floor(b / letters).cast("int")
+            head = F.substring(F.get(blocks, i), a - i * letters + 1, F.least(b - a, letters))
+            tail = F.concat(head, F.array_join(F.slice(blocks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.coalesce(F.substring(F.get(blocks, j), F.lit(1), b - j * letters), F.lit("")))
+            return F.when(a >= b, F.lit("")).when(i == j, head).otherwise(tail)
+
+        def one(s: Column, k: Column) -> Column:
+            before = F.coalesce(F.get(ends, k - 1), F.lit(0))
+            return F.when(s["start"] >= before, F.concat(piece(before, s["start"]), F.lit("["), s["kind"], F.lit("]"))).otherwise("")
+
+        return F.concat(F.array_join(F.transform(spots, one), ""), piece(F.element_at(ends, -1), F.length(text)))
+
+    ends = running(F.transform(found, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % LETTERS), F.lit(0))
+    return let(blocks, lambda b: let(ends, lambda e: made(b, found, e)))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each secret's characters replaced by its kind in square brackets; overlapping secrets are one."""
     whole = F.struct(*[docs[c] for c in docs.columns])  # apart from the columns made here, whatever their names
     found = scan(docs.select(whole.alias("row"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def add(a: Column, x: Column) -> Column:
-        fresh = F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, x["start"] - a["at"]), F.concat(F.lit("["), x["kind"], F.lit("]")))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(x["start"] >= a["at"], fresh).otherwise(a["out"]).alias("out"))
-
-    clean = F.aggregate("found", start, add, lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
-    text = F.when(F.size("found") > 0, clean).otherwise(F.col("row")["text"])
+    text = F.when(F.size("found") > 0, masked(F.col("text"), F.col("found"))).otherwise(F.col("row")["text"])
     return found.select(*[text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
