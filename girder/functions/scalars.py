@@ -76,11 +76,20 @@ def normal_error(text: Column) -> Column:
     return F.substring(F.regexp_replace(text, "[0-9]+", "N"), 1, 160)
 
 
+# fixed values: what an absolute path looks like on a network share, on a drive, and with two segments or more below the root
+PATHS = (
+    r"\\\\[^\p{IsWhite_Space}\"',;)\]]+",
+    r"[A-Za-z]:[\\/][^\p{IsWhite_Space}\"',;)\]]*",
+    r"(?<![\w:/])/(?:[\w.@+-]+/)+[\w.@+-]*",
+)
+
+
 def redacted(text: Column, known: list[str]) -> Column:
-    """Known paths, longest first, then what looks like a drive, home or absolute path."""
-    for k in sorted(known, key=lambda k: (-len(k), k)):
-        text = F.replace(text, F.lit(k), F.lit("<path>"))
-    for pattern in (r"[A-Za-z]:[\\/][^\s\"']+", r"~/[^\s\"']+", r"(?<![\w.<>/-])/[^\s\"'<>]+"):
+    """Known paths, longest first, each also with its backslashes as slashes, then what looks like an absolute path."""
+    for k in sorted({k for k in known if k}, key=lambda k: (-len(k), k)):
+        for form in (k, k.replace("\\", "/")):
+            text = F.replace(text, F.lit(form), F.lit("<path>"))
+    for pattern in PATHS:
         text = F.regexp_replace(text, pattern, "<path>")
     return text
 
@@ -109,11 +118,6 @@ def sphere_in_planes(x: Column, y: Column, z: Column, radius: Column, planes: li
     return inside
 
 
-def sign_text(x: Column) -> Column:
-    """A double as text that tells minus zero from zero, to group by."""
-    return F.when((x == 0) & (F.lit(1.0) / F.nullif(x, F.lit(0.0))).isNull(), F.when(x.cast("string") == "-0.0", "-0.0").otherwise("0.0")).otherwise(x.cast("string"))
-
-
 @F.pandas_udf(StringType())
 def nfkc_lower(text: pd.Series) -> pd.Series:
     """NFKC and lower case: Spark has no built-in for the former."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,11 +17,17 @@ def ordered_digest(df: DataFrame, by: list[str], parts: list[str], order: str) -
     return rows.groupBy(*by).agg(F.sha2(joined, 256).alias("digest"))
 
 
-def folder_fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """digest of name, digest lines of a folder's files in name order."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("d"))
+def fingerprint(files: DataFrame, by: list[str]) -> DataFrame:
+    """by, digest: of the lines name, digest of each folder's files in name order (S25). files(by, name, d); what is gathered for
+    a folder is a name and 64 characters a file."""
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "d"))), lambda r: F.concat(r["name"], F.lit("\n"), r["d"], F.lit("\n"))), "")
-    return files.agg(F.sha2(lines, 256).alias("digest"))
+    return files.groupBy(*by).agg(F.sha2(lines, 256).alias("digest"))
+
+
+def folder_fingerprint(spark: SparkSession, path: str) -> DataFrame:
+    """The fingerprint of one folder."""
+    files = spark.read.format("binaryFile").load(path)
+    return fingerprint(files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("d")), [])
 
 
 def verified(manifest: DataFrame, files: DataFrame) -> DataFrame:
@@ -30,17 +38,21 @@ def verified(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def publish(df: DataFrame, path: str, digest: Column) -> str:
-    """Write under a key once (K05): 'created', 'same' if it holds the same content, else an error."""
+    """Write under a key once (K05): 'created', 'same' if it holds the same content, else an error. Each writer has a stage of
+    its own; of two that write one key at once, the one that comes late finds the other's."""
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs
-    target, stage = hadoop.Path(path), hadoop.Path(f"{path}.stage")
+    target, stage = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.stage")
     store = target.getFileSystem(spark._jsc.hadoopConfiguration())
     total = lambda d: d.agg(F.count(F.lit(1)), F.sum(F.xxhash64(digest).cast("decimal(38,0)"))).first()
     if store.exists(target):
         if total(spark.read.parquet(path)) != total(df):
             raise ValueError(f"{path} holds other content")
         return "same"
-    df.write.mode("overwrite").parquet(stage.toString())
-    if not store.rename(stage, target):
-        raise OSError(f"{path} could not be published")
-    return "created"
+    df.write.parquet(stage.toString())
+    if not store.exists(target) and store.rename(stage, target):
+        return "created"
+    store.delete(stage, True)
+    if store.exists(target):
+        return publish(df, path, digest)
+    raise OSError(f"{path} could not be published")

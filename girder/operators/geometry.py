@@ -39,9 +39,10 @@ def edge_records(edges: DataFrame) -> DataFrame:
 
 
 def up_axis_basis(axis: Column) -> Column:
-    """The column-major change of basis that makes the named axis Y (P07): a cyclic turn, so handedness stays."""
-    images = {"Y": (0, 1, 2), "Z": (0, 2, 1), "X": (1, 0, 2)}
-    signs = {"Y": (1, 1, 1), "Z": (1, 1, -1), "X": (-1, 1, 1)}
+    """The column-major change of basis that makes the named axis Y and keeps handedness (P07): X by a cyclic turn of all three
+    axes, Z by a quarter turn around X."""
+    images = {"Y": (0, 1, 2), "Z": (0, 2, 1), "X": (2, 0, 1)}
+    signs = {"Y": (1, 1, 1), "Z": (1, 1, -1), "X": (1, 1, 1)}
 
     def cells(a: str) -> Column:
         m = [0.0] * 16
@@ -99,11 +100,12 @@ def representation_digest(streams: DataFrame) -> DataFrame:
     return streams.groupBy("representation_id").agg(F.sha2(lines, 256).alias("digest"))
 
 
-def display(value: Column) -> Column:
+def display(value: Column, levels: int = 4) -> Column:
     """A property's JSON text as shown to a user (P20): strings bare, quantities with their unit, tagged values by value,
-    arrays joined by commas."""
+    arrays joined by commas, at most `levels` of them one in another."""
     kind = F.get_json_object(value, "$.type")
     items = F.from_json(F.get_json_object(value, "$.values"), "array<string>")
+    items = F.transform(items, lambda v: display(v, levels - 1)) if levels > 1 else items
     plain = F.when(value.startswith('"'), F.get_json_object(F.concat(F.lit('{"v":'), value, F.lit("}")), "$.v")).otherwise(value)
     return (
         F.when(kind == "quantity", F.concat_ws(" ", F.get_json_object(value, "$.value"), F.get_json_object(value, "$.unit")))

@@ -82,7 +82,7 @@ def checks(tree: DataFrame) -> DataFrame:
     return several.unionByName(missing.distinct()).unionByName(cycles(tree))
 
 
-def cycles(tree: DataFrame) -> DataFrame:
+def cycles(tree: DataFrame, code: str = "OCCURRENCE_CYCLE") -> DataFrame:
     """Nodes from which following parents never ends (G04): pointers are doubled until no chain is left to follow."""
     step = cut(tree.where("parent_id is not null").select("node_id", F.col("parent_id").alias("up")).distinct(), "up")
     count = None
@@ -91,5 +91,5 @@ def cycles(tree: DataFrame) -> DataFrame:
         jump = cut(jump.distinct(), "up")
         left = jump.agg(F.count_distinct("node_id")).first()[0]
         if left == count or left == 0:
-            return jump.select(F.lit("OCCURRENCE_CYCLE").alias("code"), "node_id").distinct()
+            return jump.select(F.lit(code).alias("code"), "node_id").distinct()
         step, count = jump, left

@@ -44,9 +44,9 @@ def flattened(nested: DataFrame, column: str) -> DataFrame:
         object_ = F.expr("schema_of_variant(v) LIKE 'OBJECT%'")
         leaves = level.where(~object_ & (F.col("key") != "")).select("bag_id", "key", F.to_json("v").alias("value"))
         done = leaves if done is None else done.unionByName(leaves)
-        level.where(object_).createOrReplaceTempView("girder_level")
-        below = level.sparkSession.sql("SELECT bag_id, concat_ws('.', nullif(l.key, ''), e.key) AS key, to_json(e.value) AS j FROM girder_level l, LATERAL variant_explode(l.v) e WHERE lower(e.key) <> 'id'")
-        below = cut(below, "level")
+        members = level.sparkSession.tvf.variant_explode(F.col("v").outer()).select(F.col("key").alias("name"), F.col("value").alias("own"))
+        inner = level.where(object_).lateralJoin(members).where(F.lower("name") != "id")
+        below = cut(inner.select("bag_id", F.concat_ws(".", F.nullif(F.col("key"), F.lit("")), "name").alias("key"), F.to_json("own").alias("j")), "level")
         if below.isEmpty():
             return done
         level = below.select("bag_id", "key", F.parse_json("j").alias("v"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.operators.validation import issue
+from girder.operators.validation import MESSAGES, issue
 
 _ODD = "({0} is null or isnan({0}) or abs({0}) = double('infinity'))"
 
@@ -75,10 +75,10 @@ RULES: dict[str, dict[str, str]] = {
 
 
 def check(relation: str, rows: DataFrame, key: str) -> DataFrame:
-    """severity, code and path of every violation, in one pass over the rows."""
-    found = F.array_compact(F.array(*[F.when(F.coalesce(F.expr(when), F.lit(False)), F.lit(code)) for code, when in RULES[relation].items()]))
-    path = F.col(key)
-    return rows.select(path.alias("path"), F.explode(found).alias("code")).select(F.lit("error").alias("severity"), "code", F.col("path").cast("string").alias("path"))
+    """severity, code, path and message of every violation, in one pass over the rows."""
+    told = lambda code: F.struct(F.lit(code).alias("code"), F.lit(MESSAGES[code]).alias("message"))
+    found = F.array_compact(F.array(*[F.when(F.coalesce(F.expr(when), F.lit(False)), told(code)) for code, when in RULES[relation].items()]))
+    return rows.select(F.col(key).cast("string").alias("path"), F.explode(found).alias("i")).select(F.lit("error").alias("severity"), "i.code", "path", "i.message")
 
 
 def check_all(relations: dict[str, tuple[DataFrame, str]]) -> DataFrame:

@@ -1,16 +1,38 @@
-"""Rules of the scene model: each is a query of violations (severity, code, path)."""
+"""Rules of the scene model: each is a query of violations (severity, code, path, message)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# fixed values: the codes; the messages are our own
+MESSAGES = {
+    "ACCESSOR_BUFFER_VIEW": "an accessor names no view", "ACCESSOR_RANGE": "an accessor leaves its view", "ACCESSOR_SHAPE": "an accessor has no elements or an odd number of components",
+    "ATTRIBUTE_COUNT_MISMATCH": "an attribute has another count than the positions", "BUFFER_ALIGNMENT": "a view is not aligned to four bytes", "BUFFER_COUNT": "a package has one buffer",
+    "BUFFER_LENGTH": "the buffer is not as long as declared", "BUFFER_RANGE": "a view leaves its buffer", "BUFFER_REFERENCE": "a view names no buffer",
+    "DATASET_KIND": "an unknown kind of data set", "DATASET_LICENCE": "the licence is not the registered one", "DATASET_REVISION": "the revision is not a commit",
+    "DUPLICATE_ID": "the id is declared more than once", "DUPLICATE_PROPERTY_KEY": "the key is declared more than once", "EMPTY_ID": "the id is empty", "EMPTY_PROPERTY_KEY": "the key is empty",
+    "GLTF_VERSION": "the document has another version", "INDEX_ACCESSOR": "a primitive's indices name no accessor", "INDEX_OUT_OF_RANGE": "an index names no vertex",
+    "INVALID_EDGE_LAYOUT": "edges have two indices each", "INVALID_POSITION_COUNT": "positions have three numbers each", "INVALID_SCENE_HEADER": "the scene's id, version or revision is missing",
+    "INVALID_TRANSFORM": "a transform has sixteen finite numbers", "INVALID_TRIANGLE_COUNT": "triangles have three indices each", "INVALID_UNIT_SCALE": "the scale to metres is positive and finite",
+    "INVERTED_BOUNDS": "a least corner exceeds the greatest", "MATERIAL_GROUP_OUT_OF_RANGE": "a material group leaves the indices", "MATERIAL_REFERENCE": "a primitive names no material",
+    "MESH_EMPTY": "a mesh has no primitive", "MISSING_PROPERTY_COLUMNS": "a row of values has no columns to stand in", "MISSING_PROPERTY_INDEX": "a key set has no index to stand in",
+    "MISSING_REFERENCE": "the reference names nothing", "NODE_CHILD": "a child is no node", "NODE_COARSE_MESH": "a coarse mesh is no mesh", "NODE_CYCLE": "the nodes run in a circle",
+    "NODE_MATRIX": "a matrix has sixteen finite numbers", "NODE_MESH": "a node's mesh is no mesh", "NODE_PARENT": "a node has several parents", "NODE_REACHABILITY": "no root leads to the node",
+    "NODE_TRANSFORM": "a node has a matrix and a translation", "NODE_TRANSLATION": "a translation has three finite numbers", "NON_FINITE_BOUNDS": "a bound is not finite",
+    "NON_FINITE_PROPERTY": "a number is not finite", "OCCURRENCE_CYCLE": "the occurrences run in a circle", "POSITION_ACCESSOR": "a primitive's positions name no accessor", "POSITION_BOUNDS": "positions have bounds",
+    "PRIMITIVE_COUNT": "a primitive's indices fill no whole shapes", "PROPERTY_KEY_OUT_OF_RANGE": "a set names no key", "PROPERTY_ROW_OUT_OF_RANGE": "the row is not among the columns' rows",
+    "PROPERTY_SET_NOT_ASCENDING": "a set's keys do not ascend", "PROPERTY_SET_OUT_OF_RANGE": "the bag names no set", "PROPERTY_VALUE_ARITY": "a row has another number of values than its set has keys",
+    "REPRESENTATION_NOT_OWNED": "a representation is another prototype's", "SEQUENCE_GAP": "the numbers do not count up by one", "SOURCE_MAP_COUNT_MISMATCH": "sources and elements differ in number",
+    "SOURCE_MAP_OUT_OF_RANGE": "a source is not in the table", "UNDECLARED_UNITS": "no unit is declared", "UNKNOWN_EDGE_CLASS": "an edge's class is unknown",
+}
+
+
 def issue(code: str, path: Column, severity: str = "error") -> list[Column]:
-    return [F.lit(severity).alias("severity"), F.lit(code).alias("code"), path.cast("string").alias("path")]
+    return [F.lit(severity).alias("severity"), F.lit(code).alias("code"), path.cast("string").alias("path"), F.lit(MESSAGES[code]).alias("message")]
 
 
 def not_finite(c: str) -> Column:
@@ -96,5 +118,3 @@ def report(issues: DataFrame) -> DataFrame:
 def ok(issues: DataFrame) -> bool:
     return issues.where("severity = 'error'").isEmpty()
 
-
-RULES: dict[str, Callable] = {f.__name__: f for f in (missing_reference, duplicate_ids, empty_ids, bounds, transforms, property_keys, property_sets, property_rows, meshes, ranges, gaps)}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder import fixtures as fx
-from girder.operators import geometry, hierarchy, rules
+from girder.operators import geometry, hierarchy
 from girder.sources import columnar, federation
 from girder.tables import load
 
@@ -57,16 +57,6 @@ def edge_records(spark, d):  # P22
     return found.select("l_orderkey", F.array_join(F.array_sort(F.transform("table", lambda s: s.cast("string"))), ",").alias("sources"), "problem")
 
 
-@query("""SELECT 'error' AS severity, code, p_partkey::VARCHAR AS path FROM (
-  SELECT p_partkey, 'UNDECLARED_UNITS' AS code FROM part WHERE p_partkey % 9 = 0 UNION ALL SELECT p_partkey, 'INVALID_UNIT_SCALE' FROM part WHERE p_size - 10 <= 0
-  UNION ALL SELECT p_partkey, 'ACCESSOR_BUFFER_VIEW' FROM part WHERE p_size >= 40 UNION ALL SELECT p_partkey, 'ACCESSOR_SHAPE' FROM part WHERE p_partkey % 6 NOT IN (1, 2, 3, 4) UNION ALL SELECT p_partkey, 'ACCESSOR_RANGE' FROM part WHERE p_size * (p_partkey % 6) * 4 > 500)""")
-def row_rules(spark, d):  # section 2.12
-    k, part = F.col("p_partkey"), load(spark, d, "part")
-    units = part.select(k, F.when(k % 9 != 0, "m").alias("unit"), (F.col("p_size") - 10).cast("double").alias("scale"))
-    accessors = part.select(k, F.col("p_size").alias("view"), F.lit(40).alias("views"), F.col("p_size").alias("count"), (k % 6).alias("components"), F.lit(4).alias("component_bytes"), F.lit(0).alias("byte_offset"), F.lit(500).alias("view_bytes"))
-    return rules.check_all({"units": (units, "p_partkey"), "accessors": (accessors, "p_partkey")})
-
-
 @query("""SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS position, o_orderkey, o_orderstatus FROM orders""")
 def sidecar_round_trip(spark, d):  # S13, S14: rows to arrays and back
     rows = load(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
@@ -74,12 +64,16 @@ def sidecar_round_trip(spark, d):  # S13, S14: rows to arrays and back
     return columnar.unpacked(arrays, "o_custkey", ["o_orderkey", "o_orderstatus"]).select("o_custkey", F.col("position").cast("long").alias("position"), "o_orderkey", "o_orderstatus")
 
 
-@query("""WITH t AS (SELECT r_name, coalesce(nullif(trim(both '-' from regexp_replace(lower(r_name), '[^a-z0-9]+', '-', 'g')), ''), 'unnamed') AS rs, n_nationkey, coalesce(nullif(trim(both '-' from regexp_replace(lower(n_name), '[^a-z0-9]+', '-', 'g')), ''), 'unnamed') AS ns FROM nation JOIN region ON r_regionkey = n_regionkey)
-SELECT DISTINCT rs AS occurrence_id FROM t UNION ALL SELECT rs || '/' || ns FROM t""")
+_SLUG = "coalesce(nullif(trim(both '-' from regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g')), ''), 'unnamed')"
+
+
+@query(f"""WITH {fx.TREE_SQL}, t AS (SELECT node_id, parent_id, {_SLUG} AS slug FROM tree)
+SELECT slug AS occurrence_id FROM t WHERE parent_id IS NULL UNION ALL SELECT a.slug || '/' || b.slug FROM t a JOIN t b ON b.parent_id = a.node_id WHERE a.parent_id IS NULL
+UNION ALL SELECT a.slug || '/' || b.slug || '/' || c.slug FROM t a JOIN t b ON b.parent_id = a.node_id JOIN t c ON c.parent_id = b.node_id WHERE a.parent_id IS NULL""")
 def slug_paths(spark, d):  # W16: paths of slugs from the root
     from girder.functions.scalars import slug
 
-    tree = fx.tree(spark, d).where("not renderable").withColumn("slug", slug(F.col("name")))
+    tree = fx.tree(spark, d).withColumn("slug", slug(F.col("name")))
     return hierarchy.descend(tree, {"occurrence_id": F.col("slug")}, {"occurrence_id": F.concat_ws("/", "_occurrence_id", "slug")}).select("occurrence_id")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.functions import scalars
-from girder.operators import ranking
+from girder.operators import model, ranking
 from girder.sources import part21, scene_json, workload
 from girder.tables import load
 
@@ -36,8 +36,8 @@ def entity_scan(spark, d):  # S04: parts as instance lines
 def unsupported_entities(spark, d):  # S10
     part = load(spark, d, "part")
     line = F.concat(F.lit("#"), F.col("p_partkey").cast("string"), F.lit("="), F.replace(F.col("p_type"), F.lit(" "), F.lit("_")), F.lit("();"))
-    known = [r.t for r in part.where("p_type like 'S%'").select(F.upper(F.replace(F.col("p_type"), F.lit(" "), F.lit("_"))).alias("t")).distinct().limit(200).collect()]
-    return part21.unsupported(part.select(line.alias("value")), known or [""])
+    known = part.where("p_type like 'S%'").select(F.upper(F.replace(F.col("p_type"), F.lit(" "), F.lit("_"))).alias("type"))
+    return part21.unsupported(part.select(line.alias("value")), known)
 
 
 @query(r"""SELECT sum(len(regexp_extract_all(html, '\bdiv\b')))::BIGINT AS div, sum(len(regexp_extract_all(html, '\bscript\b')))::BIGINT AS script FROM pages""")
@@ -51,9 +51,11 @@ def synthetic_workload(spark, d):  # S23
     return workload.workload(spark, 10_000, 256).groupBy("prototype").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("z").alias("z"))
 
 
-@query("""SELECT count(*) AS n, count(*) FILTER (p_name IS NOT NULL AND p_partkey IS NOT NULL) AS present, count(DISTINCT p_partkey) = count(*) AS unique_ids, count(DISTINCT p_brand) AS brands FROM part""")
-def corpus_evidence(spark, d):  # S20
-    return load(spark, d, "part").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p_name").isNotNull() & F.col("p_partkey").isNotNull()).alias("present"), (F.count_distinct("p_partkey") == F.count(F.lit(1))).alias("unique_ids"), F.count_distinct("p_brand").alias("brands"))
+@query("""SELECT source, count(*) AS records, count(text) AS payloads, count(DISTINCT doc_id) AS identities, count(DISTINCT lang) AS generators, count(DISTINCT 'open') AS licences,
+  CASE WHEN count(text) < count(*) THEN 'payload' WHEN count(DISTINCT doc_id) < count(*) THEN 'identity' WHEN count(DISTINCT lang) <> 1 THEN 'generator' END AS problem FROM (SELECT *, 'open' AS licence FROM documents) GROUP BY 1""")
+def corpus_evidence(spark, d):  # S20: payloads and identities of each corpus, and one generator and licence
+    docs = load(spark, d, "documents").withColumn("licence", F.lit("open"))
+    return ranking.corpus_evidence(docs, ["source"], "text", "doc_id", "lang", "licence")
 
 
 @query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'unknown-key' WHEN 1 THEN 'version' WHEN 2 THEN 'unreadable' END AS problem FROM supplier""")
@@ -69,25 +71,25 @@ def basenames(spark, d):  # P23
 
 
 @query("""SELECT event_type, sum(v)::BIGINT AS bytes, max(n)::BIGINT AS most FROM (SELECT event_type, user_id, sum(strlen(props)) AS v, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1""")
-def byte_census(spark, d):  # A23, A34
+def byte_census(spark, d):  # A23
     per = load(spark, d, "events").groupBy("event_type", "user_id").agg(F.sum(F.octet_length("props")).alias("v"), F.count(F.lit(1)).alias("n"))
     return per.groupBy("event_type").agg(F.sum("v").alias("bytes"), F.max("n").alias("most"))
 
 
-@query("""WITH RECURSIVE p AS (SELECT p_partkey AS pid, p_partkey // 3 AS ppid, p_size AS mb FROM part WHERE p_partkey BETWEEN 1 AND 399), t AS (SELECT pid AS top, pid, mb FROM p WHERE ppid = 0 UNION ALL SELECT t.top, p.pid, p.mb FROM t JOIN p ON p.ppid = t.pid)
+@query("""WITH RECURSIVE p AS (SELECT p_partkey AS pid, p_partkey // 3 AS ppid, p_size AS mb FROM part WHERE p_partkey >= 1), t AS (SELECT pid AS top, pid, mb FROM p WHERE ppid = 0 UNION ALL SELECT t.top, p.pid, p.mb FROM t JOIN p ON p.ppid = t.pid)
 SELECT top, count(*) AS processes, sum(mb)::BIGINT AS mb FROM t GROUP BY 1""")
 def process_trees(spark, d):  # A24, G13
     from girder.operators.hierarchy import descend
 
     k = F.col("p_partkey")
-    p = load(spark, d, "part").where("p_partkey between 1 and 399").select(k.alias("node_id"), F.when(k >= 3, F.floor(k / 3)).alias("parent_id"), "p_size")
+    p = load(spark, d, "part").where("p_partkey >= 1").select(k.alias("node_id"), F.when(k >= 3, F.floor(k / 3)).alias("parent_id"), "p_size")
     return descend(p, {"top": F.col("node_id")}, {"top": F.col("_top")}).groupBy("top").agg(F.count(F.lit(1)).alias("processes"), F.sum("p_size").alias("mb"))
 
 
-@query("""SELECT w, count(*) AS samples, max(value) AS peak FROM (SELECT e.value, x.w FROM events e JOIN (SELECT o_orderkey % 10 AS w, min(o_orderkey) AS a, max(o_orderkey) // 2 AS b FROM orders GROUP BY 1) x ON e.event_id BETWEEN x.a AND x.b) GROUP BY 1""")
-def observation_windows(spark, d):  # ST09: ten windows, so they are broadcast
-    windows = load(spark, d, "orders").groupBy((F.col("o_orderkey") % 10).alias("w")).agg(F.min("o_orderkey").alias("a"), F.floor(F.max("o_orderkey") / 2).alias("b"))
-    return load(spark, d, "events").join(F.broadcast(windows), F.expr("event_id between a and b")).groupBy("w").agg(F.count(F.lit(1)).alias("samples"), F.max("value").alias("peak"))
+@query("""SELECT w, count(*) AS samples, max(value) AS peak FROM (SELECT e.value, x.w FROM events e JOIN (SELECT o_custkey AS w, min(o_orderkey) AS a, min(o_orderkey) + 200 AS b FROM orders GROUP BY 1) x ON e.event_id BETWEEN x.a AND x.b) GROUP BY 1""")
+def observation_windows(spark, d):  # ST09: a window for each customer
+    windows = load(spark, d, "orders").groupBy(F.col("o_custkey").alias("w")).agg(F.min("o_orderkey").alias("a"), (F.min("o_orderkey") + 200).alias("b"))
+    return model.within_windows(load(spark, d, "events"), "event_id", windows, 100).groupBy("w").agg(F.count(F.lit(1)).alias("samples"), F.max("value").alias("peak"))
 
 
 @query("""SELECT p_type, row_number() OVER (ORDER BY n DESC, p_type) - 1 AS place FROM (SELECT p_type, count(*) AS n FROM part GROUP BY 1)""")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: accepted schemas and what their names start with
-IFC_SCHEMAS = ("IFC2X3", "IFC4", "IFC4X3")
-STEP_SCHEMAS = {"AP203": "CONFIG_CONTROL_DESIGN", "AP214": "AUTOMOTIVE_DESIGN", "AP242": "AP242_MANAGED_MODEL_BASED_3D_ENGINEERING"}
+IFC_SCHEMAS = ("IFC4X3", "IFC4", "IFC2X3")
+STEP_SCHEMAS = {"AP242": ("AP242", 242), "AP214": ("AUTOMOTIVE_DESIGN", 214), "AP203": ("CONFIG_CONTROL_DESIGN", 203)}
 ENTITY = r"^\s*#(\d+)\s*=\s*(?:\(\s*)?([A-Za-z]\w*)\s*\("
 HEADER_BYTES = 256 * 1024
 
@@ -18,31 +18,53 @@ def files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("byte_length"), F.sha2("content", 256).alias("sha256"), F.decode(F.substring("content", 1, HEADER_BYTES), "ISO-8859-1").alias("head"))
 
 
-def schema_name(head: Column) -> Column:
-    return F.upper(F.regexp_extract(head, r"(?is)FILE_SCHEMA\s*\(\s*\(\s*'([^']*)'", 1))
+def schema_names(head: Column) -> Column:
+    """All strings of the FILE_SCHEMA declaration in upper case, joined by blanks; null where none is declared."""
+    declared = F.regexp_extract(head, r"(?is)FILE_SCHEMA\s*\(\s*\((.*?)\)\s*\)", 1)
+    return F.nullif(F.upper(F.array_join(F.regexp_extract_all(declared, F.lit("'([^']+)'"), F.lit(1)), " ")), F.lit(""))
 
 
-def inspect_ifc(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """name, byte_length, sha256, schema, problem (S01): extension, magic and schema are checked in this order."""
-    schema = schema_name(F.col("head"))
-    problem = F.when(~F.lower("name").endswith(".ifc"), "extension").when(~F.col("head").startswith("ISO-10303-21;"), "magic").when(~schema.isin(*IFC_SCHEMAS), "schema")
-    return files(spark, paths).select("name", "byte_length", "sha256", schema.alias("schema"), problem.alias("problem"))
+def ifc_schema(head: Column) -> Column:
+    """IFC4X3, IFC4 or IFC2X3, whichever of them is named first in this order, or null."""
+    names, out = schema_names(head), F.lit(None).cast("string")
+    for schema in reversed(IFC_SCHEMAS):
+        out = F.when(names.rlike(rf"\b{schema}(_|\b)"), schema).otherwise(out)
+    return out
 
 
 def step_schema(head: Column) -> Column:
-    """AP203, AP214, AP242 or UNKNOWN."""
-    name = schema_name(head)
-    out = F.lit("UNKNOWN")
-    for ap, start in STEP_SCHEMAS.items():
-        out = F.when(name.startswith(start), ap).otherwise(out)
+    """AP242, AP214, AP203 or UNKNOWN (S03): by name, or by the number of its part of the standard."""
+    names, out = schema_names(head), F.lit("UNKNOWN")
+    for ap, (name, number) in reversed(STEP_SCHEMAS.items()):
+        out = F.when(F.contains(names, F.lit(name)) | names.rlike(rf"10303\s+{number}\b"), ap).otherwise(out)
     return out
 
 
+def _inspected(found: DataFrame, extension: str, schema: Column, accepted: tuple[str, ...]) -> DataFrame:
+    """name, byte_length, sha256, schema and problem: extension, magic, declaration and schema are checked in this order."""
+    problem = (
+        F.when(~F.lower("name").rlike(extension), "extension").when(~F.ltrim("head").startswith("ISO-10303-21;"), "magic")
+        .when(schema_names(F.col("head")).isNull(), "undeclared").when(~F.coalesce(schema.isin(*accepted), F.lit(False)), "schema")
+    )
+    return found.select("name", "byte_length", "sha256", schema.alias("schema"), problem.alias("problem"))
+
+
+def inspected_ifc(found: DataFrame) -> DataFrame:
+    """Headers of exchange files of the building schemas (S01). found(name, byte_length, sha256, head)."""
+    return _inspected(found, r"\.ifc$", ifc_schema(F.col("head")), IFC_SCHEMAS)
+
+
+def inspected_step(found: DataFrame) -> DataFrame:
+    """The same of product files, for AP214 and AP242 only."""
+    return _inspected(found, r"\.(step|stp)$", step_schema(F.col("head")), ("AP214", "AP242"))
+
+
+def inspect_ifc(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return inspected_ifc(files(spark, paths))
+
+
 def inspect_step(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """As inspect_ifc, for AP214 and AP242 only."""
-    schema = step_schema(F.col("head"))
-    problem = F.when(~F.lower("name").rlike(r"\.(step|stp)$"), "extension").when(~F.col("head").startswith("ISO-10303-21;"), "magic").when(~schema.isin("AP214", "AP242"), "schema")
-    return files(spark, paths).select("name", "byte_length", "sha256", schema.alias("schema"), problem.alias("problem"))
+    return inspected_step(files(spark, paths))
 
 
 def entities(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -56,9 +78,21 @@ def histogram(lines: DataFrame, column: str = "value") -> DataFrame:
     return entities(lines, column).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.max("entity_id").alias("last_id"))
 
 
-def unsupported(lines: DataFrame, supported: list[str], column: str = "value") -> DataFrame:
-    """source_ref, type, diagnostic of instances that no capability covers."""
-    return entities(lines, column).where(~F.col("type").isin(*supported)).select(F.concat(F.lit("source:"), F.col("entity_id").cast("string")).alias("source_ref"), "type", F.concat(F.lit("UNSUPPORTED_ENTITY:"), "type").alias("diagnostic"))
+def readiness(lines: DataFrame, column: str = "value") -> DataFrame:
+    """One row: lines, instances, types, relations (types that begin with IFCREL) and the largest id, and whether the text is
+    enclosed as it should be (S04). One pass; what reaches the last task is a row for each task."""
+    text = F.trim(column)
+    own = F.when(F.col(column).rlike(ENTITY), F.upper(F.regexp_extract(column, ENTITY, 2)))
+    return lines.agg(
+        F.count(F.lit(1)).alias("lines"), F.count(own).alias("instances"), F.count_if(own.startswith("IFCREL")).alias("relations"),
+        F.max(F.when(own.isNotNull(), F.regexp_extract(column, ENTITY, 1).cast("long"))).alias("last_id"),
+        ((F.count_if(text == "ISO-10303-21;") == 1) & (F.count_if(text == "END-ISO-10303-21;") == 1)).alias("enclosed"),
+    )
+
+
+def unsupported(lines: DataFrame, supported: DataFrame, column: str = "value") -> DataFrame:
+    """source_ref, type, diagnostic of instances that no capability covers (S10). supported(type)."""
+    return entities(lines, column).join(supported.select("type").distinct(), "type", "left_anti").select(F.concat(F.lit("source:"), F.col("entity_id").cast("string")).alias("source_ref"), "type", F.concat(F.lit("UNSUPPORTED_ENTITY:"), "type").alias("diagnostic"))
 
 
 def keyword_counts(texts: DataFrame, column: str, words: list[str]) -> DataFrame:

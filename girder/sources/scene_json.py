@@ -137,6 +137,11 @@ def read_scene(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("girder_scene_json").load(path)
 
 
+def only_file(spark: SparkSession, path: str) -> str:
+    """The one file with content in a folder that Spark wrote."""
+    return spark.read.format("binaryFile").load(path).where("length > 0").select("path").first().path
+
+
 WORKSPACE = "version int, name string, packageDigest string, hidden array<string>, isolated string"
 KEYS = ("version", "name", "packageDigest", "hidden", "isolated")
 

@@ -1,7 +1,8 @@
 """Sequential folds per key, as batch jobs and as streaming state.
 
 Batch: rows are dealt by key, sorted, and streamed through; a task holds the state of one key at a time. Streaming:
-transformWithState keeps it in the state store.
+transformWithState keeps it in the state store. Rows with a null key are those of one key. A sequence is one task's, so the
+key should be fine enough: a job, a customer's or supplier's session, not a region.
 """
 
 from __future__ import annotations
@@ -10,25 +11,32 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
-def ordered_fold(df: DataFrame, key: str, order: list[str], start: Callable[[], Any], step: Callable[[Any, Any], dict], schema: str) -> DataFrame:
+_DDL = {pa.int64(): "long", pa.string(): "string", pa.bool_(): "boolean"}
+
+
+def ordered_fold(df: DataFrame, key: str, order: list[str], start: Callable[[], Any], step: Callable[[Any, dict], dict], schema: pa.Schema) -> DataFrame:
     """step(state, row) -> the row that comes out; state is made anew for each key."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owner, state = object(), None
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for row in pdf.itertuples(index=False):
-                if getattr(row, key) != owner:
-                    owner, state = getattr(row, key), start()
+            for row in batch.to_pylist():
+                if row[key] != owner:
+                    owner, state = row[key], start()
                 out.append(step(state, row))
-            if out:
-                yield pd.DataFrame(out)
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, ddl(schema))
+
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+def ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {_DDL[f.type]}" for f in schema)
 
 
 # ---- import jobs (ST01, ST02, W12) ---------------------------------------------------------------------------
@@ -75,18 +83,18 @@ def job_step(state: dict, job_id: Any, event: str, elapsed: int) -> dict:
     }
 
 
-JOB_SCHEMA = "job_id long, event string, verdict string, sequence long, elapsed long, total long, published_before boolean"
+JOB_SCHEMA = pa.schema([("job_id", pa.int64()), ("event", pa.string()), ("verdict", pa.string()), ("sequence", pa.int64()), ("elapsed", pa.int64()), ("total", pa.int64()), ("published_before", pa.bool_())])
 
 
 def job_lifecycle(events: DataFrame) -> DataFrame:
     """events(job_id, ts, event_id, event, elapsed) checked against the lifecycle, in (ts, event_id) order."""
     rows = events.select("job_id", "ts", "event_id", "event", "elapsed")
-    out = ordered_fold(rows, "job_id", ["ts", "event_id"], job_start, lambda s, r: job_step(s, r.job_id, r.event, r.elapsed), JOB_SCHEMA)
-    return out
+    return ordered_fold(rows, "job_id", ["ts", "event_id"], job_start, lambda s, r: job_step(s, r["job_id"], r["event"], r["elapsed"]), JOB_SCHEMA)
 
 
 class JobProcessor(StatefulProcessor):
-    """The same checks over a stream keyed by job_id; rows of a batch are ordered by (ts, event_id)."""
+    """The same checks over a stream keyed by job_id. Rows of one job in a micro-batch are ordered by (ts, event_id); what comes
+    in a later micro-batch counts as later, whatever its time, as what was said of a state can't be taken back."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("job", "rank int, ended boolean, elapsed long, sequence long, plan string, published boolean")
@@ -95,7 +103,8 @@ class JobProcessor(StatefulProcessor):
         names = ("rank", "ended", "elapsed", "sequence", "plan", "published")
         state = dict(zip(names, self.state.get())) if self.state.exists() else job_start()
         pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        out = [job_step(state, int(r.job_id), r.event, r.elapsed) for r in pdf.itertuples(index=False)]
+        job = None if pd.isna(key[0]) else int(key[0])
+        out = [job_step(state, job, r.event, r.elapsed) for r in pdf.itertuples(index=False)]
         self.state.update(tuple(state[n] for n in names))
         yield pd.DataFrame(out)
 
@@ -104,7 +113,7 @@ class JobProcessor(StatefulProcessor):
 
 
 def job_stream(events: DataFrame) -> DataFrame:
-    return events.groupBy("job_id").transformWithStateInPandas(JobProcessor(), JOB_SCHEMA, "Append", "None")
+    return events.groupBy("job_id").transformWithStateInPandas(JobProcessor(), ddl(JOB_SCHEMA), "Append", "None")
 
 
 # ---- budgeted residency (ST03, ST04) and scheduling (ST05) ----------------------------------------------------
@@ -151,15 +160,15 @@ class Residency:
         return "admitted", out
 
 
-RESIDENCY_SCHEMA = "session long, seq long, chunk string, outcome string, evicted string, decoded_used long, gpu_used long"
+RESIDENCY_SCHEMA = pa.schema([("session", pa.int64()), ("seq", pa.int64()), ("chunk", pa.string()), ("outcome", pa.string()), ("evicted", pa.string()), ("decoded_used", pa.int64()), ("gpu_used", pa.int64())])
 
 
 def residency(requests: DataFrame, decoded: int, gpu: int) -> DataFrame:
     """requests(session, seq, chunk, decoded_bytes, gpu_bytes, priority, pin) admitted in order within each session."""
 
-    def step(state: Residency, r: Any) -> dict:
-        outcome, out = state.request(r.chunk, (int(r.decoded_bytes), int(r.gpu_bytes)), int(r.priority), bool(r.pin))
-        return {"session": r.session, "seq": r.seq, "chunk": r.chunk, "outcome": outcome, "evicted": ",".join(out), "decoded_used": state.used[0], "gpu_used": state.used[1]}
+    def step(state: Residency, r: dict) -> dict:
+        outcome, out = state.request(r["chunk"], (r["decoded_bytes"], r["gpu_bytes"]), r["priority"], bool(r["pin"]))
+        return {"session": r["session"], "seq": r["seq"], "chunk": r["chunk"], "outcome": outcome, "evicted": ",".join(out), "decoded_used": state.used[0], "gpu_used": state.used[1]}
 
     return ordered_fold(requests.select("session", "seq", "chunk", "decoded_bytes", "gpu_bytes", "priority", "pin"), "session", ["seq"], lambda: Residency(decoded, gpu), step, RESIDENCY_SCHEMA)
 
@@ -192,14 +201,14 @@ class Scheduler:
         return None, skipped, blocked
 
 
-SCHEDULER_SCHEMA = "session long, frame long, loaded string, skipped string, blocked string"
+SCHEDULER_SCHEMA = pa.schema([("session", pa.int64()), ("frame", pa.int64()), ("loaded", pa.string()), ("skipped", pa.string()), ("blocked", pa.string())])
 
 
 def scheduled(frames: DataFrame, decoded: int, gpu: int) -> DataFrame:
     """frames(session, frame, wanted: array of (chunk, decoded, gpu) in demand order)."""
 
-    def step(state: Scheduler, r: Any) -> dict:
-        loaded, skipped, blocked = state.frame([(w["chunk"], int(w["decoded"]), int(w["gpu"])) for w in r.wanted])
-        return {"session": r.session, "frame": r.frame, "loaded": loaded, "skipped": ",".join(skipped), "blocked": ",".join(blocked)}
+    def step(state: Scheduler, r: dict) -> dict:
+        loaded, skipped, blocked = state.frame([(w["chunk"], w["decoded"], w["gpu"]) for w in r["wanted"]])
+        return {"session": r["session"], "frame": r["frame"], "loaded": loaded, "skipped": ",".join(skipped), "blocked": ",".join(blocked)}
 
     return ordered_fold(frames.select("session", "frame", "wanted"), "session", ["frame"], lambda: Scheduler(decoded, gpu), step, SCHEDULER_SCHEMA)

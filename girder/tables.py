@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,17 +13,27 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_temporary: dict[str, str] = {}  # by application
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; where the session names none (tests), a temporary one becomes it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share. Where the session names none, a temporary one becomes it if all runs in one process
+    (tests); on a cluster that would lose data, so it is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="girder-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _temporary.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="girder-")
+        _temporary[spark.sparkContext.applicationId] = base
     return base.rstrip("/")
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back, so that loops have a short lineage that survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
