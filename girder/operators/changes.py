@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.tables import cut
+from girder.tables import cut, drop
 
 SEVERITY = {"verified": 0, "unverifiable": 1, "changed": 2, "missing": 3}
 
@@ -43,7 +43,10 @@ def components(edges: DataFrame) -> DataFrame:
         closer = label.join(around, label.node == around.a).select("node", F.least("label", "near").alias("next"))
         jumped = closer.join(label.select(F.col("node").alias("next"), F.col("label").alias("further")), "next", "left").select("node", F.least("next", F.coalesce("further", "next")).alias("label"))
         after = cut(jumped, "labels")
-        if after.exceptAll(label).isEmpty():
+        same = after.exceptAll(label).isEmpty()
+        drop(label)
+        if same:
+            drop(both)
             return after.withColumnRenamed("label", "component")
         label = after
 

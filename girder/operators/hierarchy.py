@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from girder.functions.scalars import has_all_tokens
 from girder.operators.ranking import dense_rank_all
-from girder.tables import cut
+from girder.tables import cut, drop
 
 MAX_DEPTH = 64
 
@@ -90,6 +90,7 @@ def cycles(tree: DataFrame, code: str = "OCCURRENCE_CYCLE") -> DataFrame:
         jump = step.join(step.select(F.col("node_id").alias("up"), F.col("up").alias("next")), "up").select("node_id", F.col("next").alias("up"))
         jump = cut(jump.distinct(), "up")
         left = jump.agg(F.count_distinct("node_id")).first()[0]
+        drop(step)
         if left == count or left == 0:
             return jump.select(F.lit(code).alias("code"), "node_id").distinct()
         step, count = jump, left

@@ -11,7 +11,7 @@ from girder.operators.validation import MESSAGES, issue
 
 _ODD = "({0} is null or isnan({0}) or abs({0}) = double('infinity'))"
 
-# relation: (columns it needs, rules)
+# fixed values: the codes and what breaks them; relation: rules, its columns above each
 RULES: dict[str, dict[str, str]] = {
     # scene_id, schema_version, revision
     "scene": {"INVALID_SCENE_HEADER": "coalesce(trim(scene_id), '') = '' or coalesce(schema_version, 0) < 1 or coalesce(trim(revision), '') = ''"},

@@ -1,140 +1,217 @@
-"""Scene documents: top-level arrays of one JSON text as partitions of a data source, and manifests."""
+"""Scene documents: the top-level arrays of one JSON text, record by record, and manifests.
+
+A text is read in spans of bytes, each by a task of its own. Whether a span begins within a string, and how deep, depends on
+all before it; so a first pass counts, for either case, the quotes and brackets of each span, and a few numbers a span tell
+the driver how each begins. A second pass finds the top-level members, a third cuts their arrays into records at the
+commas of their level; the record that a span's last comma begins is read on beyond its end.
+"""
 
 from __future__ import annotations
 
-import io
-import json
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-
-@dataclass
-class _Array(InputPartition):
-    name: str
-    start: int
-    stop: int
-
-
-def _open(path: str) -> io.BufferedReader:
-    store, at = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
-    return io.BufferedReader(store.open_input_file(at), 1 << 20)
-
-
-def members(stream: io.BufferedReader, chunk: int = 1 << 20) -> Iterator[tuple[str, int, int]]:
-    """(key, start, stop) of each member of the top-level object, in bytes; a repeated key counts with its last member.
-    Bytes behind the object are an error. Only the current chunk is held."""
-    depth, string, escaped, key, start, at = 0, False, False, None, 0, 0
-    text: bytearray | None = None
-    found: dict[str, tuple[int, int]] = {}
-    closed = False
-    while block := stream.read(chunk):
-        for i, b in enumerate(block):
-            place = at + i
-            if string:
-                if text is not None:
-                    text.append(b)
-                if escaped:
-                    escaped = False
-                elif b == 0x5C:
-                    escaped = True
-                elif b == 0x22:
-                    string = False
-                    if text is not None:
-                        key, text = json.loads(b'"' + bytes(text)), None
-            elif b == 0x22:
-                if closed:
-                    raise ValueError("bytes behind the document")
-                string = True
-                text = bytearray() if depth == 1 and key is None else None
-            elif b in b"{[":
-                if closed:
-                    raise ValueError("bytes behind the document")
-                depth += 1
-            elif b in b"}]":
-                depth -= 1
-                if depth == 0:
-                    if key is not None:
-                        found[key] = start, place
-                    closed = True
-            elif b == 0x3A and depth == 1 and start <= place:
-                start = place + 1
-            elif b == 0x2C and depth == 1:
-                found[key] = start, place
-                key = None
-            elif closed and b not in b" \t\r\n":
-                raise ValueError("bytes behind the document")
-        at += len(block)
-    if not closed:
-        raise ValueError("the document ends early")
-    for k, (a, b) in found.items():
-        yield k, a, b
 
+from girder.tables import cut
+
+SPAN = 16 << 20
+_MARKS = np.zeros(256, bool)
+_MARKS[np.frombuffer(b"{}[],:", np.uint8)] = True
+_STEP = np.zeros(256, np.int64)
+_STEP[np.frombuffer(b"{[", np.uint8)] = 1
+_STEP[np.frombuffer(b"}]", np.uint8)] = -1
+_WHITE = b" \t\r\n"
+
+
+class _Text:
+    """A file's bytes, from any store that pyarrow opens."""
 
-class _Reader(DataSourceReader):
     def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self) -> list[_Array]:
-        with _open(self.path) as f:
-            return [_Array(*m) for m in members(f)]
-
-    def read(self, part: _Array) -> Iterator[tuple[str, int, str]]:
-        """Records of an array one by one; any other member is one record."""
-        decoder = json.JSONDecoder()
-        with _open(self.path) as f:
-            f.seek(part.start)
-            left = part.stop - part.start
-            head = f.read(min(left, 1 << 20))
-            left -= len(head)
-            if not head.lstrip().startswith(b"["):
-                yield part.name, 0, (head + f.read(left)).decode().strip()
-                return
-            pending = head[head.index(b"[") + 1 :]
-            n = 0
-            while True:
-                text = pending.decode("utf-8", "ignore")
-                cut = text.lstrip(" \t\r\n,")
-                if cut.startswith("]"):
-                    return
-                try:
-                    _, end = decoder.raw_decode(cut)
-                    done = end < len(cut)
-                except json.JSONDecodeError:
-                    done = False
-                if done:
-                    yield part.name, n, cut[:end]
-                    n += 1
-                    pending = pending[len(text[: len(text) - len(cut) + end].encode()) :]
-                elif left:
-                    more = f.read(min(left, 1 << 20))
-                    left -= len(more)
-                    pending += more
-                else:
-                    raise ValueError(f"{part.name} ends early")
-
-
-class SceneJson(DataSource):
-    """format("girder_scene_json"): (collection, position, record) of each top-level array."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "girder_scene_json"
-
-    def schema(self) -> str:
-        return "collection string, position long, record string"
-
-    def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"])
-
-
-def read_scene(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(SceneJson)
-    return spark.read.format("girder_scene_json").load(path)
+        self.store, self.at = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+        self.size = self.store.get_file_info(self.at).size
+
+    def read(self, start: int, stop: int) -> bytes:
+        with self.store.open_input_file(self.at) as f:
+            f.seek(max(start, 0))
+            return f.read(max(min(stop, self.size) - max(start, 0), 0))
+
+    def backslashes(self, at: int) -> int:
+        """How many stand right before a place."""
+        count = 0
+        while at > 0:
+            block = self.read(at - 4096, at)
+            left = len(block.rstrip(b"\\"))
+            count += len(block) - left
+            if left:
+                break
+            at -= len(block)
+        return count
+
+    def key_before(self, colon: int) -> str:
+        """The string in front of a colon."""
+        import json
+
+        size = 256
+        while True:
+            block = self.read(colon - size, colon)
+            end = block.rfind(b'"')
+            begin = end
+            while begin > 0:
+                begin = block.rfind(b'"', 0, begin)
+                if begin < 0:
+                    break
+                before = block[:begin]
+                slashes = len(before) - len(before.rstrip(b"\\"))
+                if slashes < len(before) and slashes % 2 == 0 or size >= colon:
+                    return json.loads(block[begin : end + 1])
+            if size >= colon:
+                raise ValueError("a member has no key")
+            size *= 4
+
+
+def _quotes(raw: np.ndarray, slashes: int) -> np.ndarray:
+    """Places of the quotes that no backslash escapes; `slashes` backslashes stand before the first byte."""
+    q = np.flatnonzero(raw == 0x22)
+    plain = np.maximum.accumulate(np.where(raw != 0x5C, np.arange(len(raw)), -1))
+    last = np.where(q > 0, plain[q - 1], -1)
+    return q[(q - 1 - last + np.where(last < 0, slashes, 0)) % 2 == 0]
+
+
+def _marks(raw: np.ndarray, quotes: np.ndarray, inside: bool) -> np.ndarray:
+    """Places of brackets, commas and colons outside strings."""
+    at = np.flatnonzero(_MARKS[raw])
+    return at[(np.searchsorted(quotes, at) + inside) % 2 == 0]
+
+
+def _each_span(spark: SparkSession, path: str, span: int, work: Callable[[_Text, int], dict[str, list]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """work(text, number of the span) in a task of its own for each span."""
+    spans = max(1, -(-_Text(path).size // span))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = _Text(path)
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                yield pa.RecordBatch.from_pydict(work(text, i), schema)
+
+    return spark.range(0, spans, 1, spans).mapInArrow(run, ddl)
+
+
+def _summary(span: int) -> Callable:
+    def work(text: _Text, i: int) -> dict[str, list]:
+        raw = np.frombuffer(text.read(i * span, (i + 1) * span), np.uint8)
+        quotes = _quotes(raw, text.backslashes(i * span))
+        deeper = [int(_STEP[raw[_marks(raw, quotes, inside)]].sum()) for inside in (False, True)]
+        return {"span": [i], "odd": [len(quotes) % 2 == 1], "outside": [deeper[0]], "inside": [deeper[1]]}
+
+    return work
+
+
+def _members(span: int, states: list[tuple[bool, int]]) -> Callable:
+    """What happens at the top level of a span: ':' with the key before it, ',' and '}', and '!' for bytes behind the document."""
+
+    def work(text: _Text, i: int) -> dict[str, list]:
+        raw = np.frombuffer(text.read(i * span, (i + 1) * span), np.uint8)
+        inside, depth = states[i]
+        quotes = _quotes(raw, text.backslashes(i * span))
+        at = _marks(raw, quotes, inside)
+        before = depth + np.cumsum(_STEP[raw[at]]) - _STEP[raw[at]]
+        found = [(int(p) + i * span, chr(raw[p])) for p in at[(before == 1) & np.isin(raw[at], np.frombuffer(b":,}", np.uint8))]]
+        ended = next((p + 1 - i * span for p, c in found if c == "}"), 0 if i and depth <= 0 and not inside else None)
+        if ended is not None and raw[ended:].tobytes().strip(_WHITE):
+            found.append((i * span + ended, "!"))
+        return {"at": [p for p, _ in found], "kind": [c for _, c in found], "key": [text.key_before(p) if c == ":" else None for p, c in found]}
+
+    return work
+
+
+def _records(span: int, states: list[tuple[bool, int]], members: list[tuple[str, int, int]]) -> Callable:
+    """The records that begin in a span: elements of arrays, and other members whole."""
+
+    def work(text: _Text, i: int) -> dict[str, list]:
+        low, high = i * span, min((i + 1) * span, text.size)
+        inside, depth = states[i]
+        raw = np.frombuffer(text.read(low, high), np.uint8)
+
+        def borders(raw: np.ndarray, base: int, inside: bool, depth: int) -> tuple[list[int], bool, int]:
+            """Places in the document where an element begins or ends, and how the bytes leave off."""
+            quotes = _quotes(raw, text.backslashes(base))
+            at = _marks(raw, quotes, inside)
+            step = _STEP[raw[at]]
+            before = depth + np.cumsum(step) - step
+            own = (before == 2) & ((raw[at] == 0x2C) | (step < 0)) | (before == 1) & (step > 0)
+            return (at[own] + base).tolist(), (len(quotes) + inside) % 2 == 1, depth + int(step.sum())
+
+        found, inside, depth = borders(raw, low, inside, depth)
+
+        def beyond() -> int:
+            """The first border behind the span."""
+            at, state = high, (inside, depth)
+            while at < text.size:
+                more, *state = borders(np.frombuffer(text.read(at, at + (1 << 20)), np.uint8), at, *state)
+                if more:
+                    return more[0]
+                at += 1 << 20
+            raise ValueError("the document ends early")
+
+        out: dict[str, list] = {"collection": [], "part": [], "turn": [], "record": []}
+        for name, value, stop in members:
+            if stop <= low or value >= high:
+                continue
+            records: list[bytes] = []
+            if text.read(value, value + 1) != b"[":
+                records = [text.read(value, stop)] if value >= low else []
+            elif own := [p for p in found if value <= p < stop]:
+                if raw[own[-1] - low] != 0x5D:
+                    own.append(beyond())
+                records = [text.read(a + 1, b) for a, b in zip(own, own[1:])]
+                if own[0] == value and len(own) == 2 and not records[0].strip(_WHITE) and text.read(own[1], own[1] + 1) == b"]":
+                    records = []
+            for turn, record in enumerate(records):
+                for k, v in zip(out, (name, i, turn, record.decode().strip())):
+                    out[k].append(v)
+        return out
+
+    return work
+
+
+_SUMMARY = pa.schema([("span", pa.int64()), ("odd", pa.bool_()), ("outside", pa.int64()), ("inside", pa.int64())])
+_MEMBERS = pa.schema([("at", pa.int64()), ("kind", pa.string()), ("key", pa.string())])
+_RECORDS = pa.schema([("collection", pa.string()), ("part", pa.int64()), ("turn", pa.int64()), ("record", pa.string())])
+
+
+def top_level(spark: SparkSession, path: str, span: int = SPAN) -> tuple[list[tuple[bool, int]], list[tuple[str, int, int]]]:
+    """(whether each span begins in a string and how deep, the members as (key, first byte of the value, end)). A repeated key
+    counts with its last member; bytes behind the document are an error. A few numbers a span and the names of the top level
+    reach the driver."""
+    sums = _each_span(spark, path, span, _summary(span), _SUMMARY, "span long, odd boolean, outside long, inside long").collect()
+    states, inside, depth = [], False, 0
+    for r in sorted(sums, key=lambda r: r.span):
+        states.append((inside, depth))
+        inside, depth = inside != r.odd, depth + (r.inside if inside else r.outside)
+    if inside or depth:
+        raise ValueError("the document ends early")
+    events = sorted((r.at, r.kind, r.key) for r in _each_span(spark, path, span, _members(span, states), _MEMBERS, "at long, kind string, key string").collect())
+    if any(kind == "!" for _, kind, _ in events):
+        raise ValueError("bytes behind the document")
+    text, found = _Text(path), {}
+    for (at, kind, key), (stop, _, _) in zip(events, events[1:]):
+        if kind == ":":
+            head = text.read(at + 1, min(stop, at + 4097))
+            found[key] = (at + 1 + len(head) - len(head.lstrip(_WHITE)), stop)
+    return states, [(k, a, b) for k, (a, b) in found.items()]
+
+
+def read_scene(spark: SparkSession, path: str, span: int = SPAN) -> DataFrame:
+    """(collection, position, record) of each top-level array's elements (S06); any other member is one record."""
+    states, members = top_level(spark, path, span)
+    rows = cut(_each_span(spark, path, span, _records(span, states, members), _RECORDS, "collection string, part long, turn long, record string"), "scene-records")
+    counts = rows.groupBy("collection", "part").agg(F.count(F.lit(1)).alias("n"))  # a row for each span of a collection
+    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("collection").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return rows.join(before.drop("n"), ["collection", "part"]).select("collection", (F.col("before") + F.col("turn")).alias("position"), "record")
 
 
 def only_file(spark: SparkSession, path: str) -> str:

@@ -10,6 +10,7 @@ SCALES = {"small": 1_000, "medium": 10_000, "large": 100_000}
 
 def workload(spark: SparkSession, n: int, prototypes: int = 4) -> DataFrame:
     """index, prototype, x, y, z. With 4 prototypes 12 of 20 slots are the first, then 4, 3 and 1; with 256 they are mixed."""
+    # fixed values: the shares of four prototypes, and how 256 are mixed
     i = F.col("index")
     slot = i % 20
     few = F.when(slot < 12, 0).when(slot < 16, 1).when(slot < 19, 2).otherwise(3)

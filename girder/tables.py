@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,8 +33,22 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back, so that loops have a short lineage that survives lost executors."""
-    path = shared_path(df.sparkSession, label)
+    spark = df.sparkSession
+    path = shared_path(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of `cut` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop(df))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

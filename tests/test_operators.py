@@ -237,21 +237,24 @@ def test_part21(spark, tmp_path):  # S01-S04
     assert {r.type: (r.n, r.last_id) for r in part21.histogram(lines).collect()} == {"IFCWALL": (2, 40), "IFCDOOR": (1, 2)}
 
 
-def test_scene_json(spark, tmp_path):  # S06
-    import io
+def test_scene_json(spark, tmp_path):  # S06: spans end in strings, behind backslashes, in keys and between records
     import json
 
-    doc = {"a": [{"x": 'q"]}'}, {"y": [1, {"z": "é"}]}], "meta": {"k": [1]}, "empty": [], "n": 3}
-    text = json.dumps(doc, indent=1, ensure_ascii=False)
-    for chunk in (1, 3, 7, 1 << 20):
-        spans = {k: (a, b) for k, a, b in scene_json.members(io.BufferedReader(io.BytesIO(text.encode())), chunk)}
-        assert {k: json.loads(text.encode()[a:b]) for k, (a, b) in spans.items()} == doc
-    with pytest.raises(ValueError):
-        list(scene_json.members(io.BufferedReader(io.BytesIO(b'{"a":1} x'))))
-    (tmp_path / "scene.json").write_text(text)
-    got = scene_json.read_scene(spark, f"file://{tmp_path}/scene.json").collect()
-    assert [json.loads(r.record) for r in sorted(got, key=lambda r: r.position) if r.collection == "a"] == doc["a"]
-    assert {r.collection for r in got} == {"a", "meta", "n"}
+    doc = {"a": [{"x": 'q"]}\\'}, {"y": [1, {"z": "é"}]}, 5, "s\\\\"], "meta": {"k": [1]}, 'em"p\\ty': [], "n": 3, "b": [[1, 2], []], "a2": [None]}
+    for indent in (1, None):
+        text = json.dumps(doc, indent=indent, ensure_ascii=False)
+        path = tmp_path / f"scene{indent}.json"
+        path.write_text(text.replace('"n": 3', '"n": [7],\n"n": 3'))
+        for span in (1 << 20, 11, 64) if indent is None else (5, 1 << 20):
+            got = scene_json.read_scene(spark, f"file://{path}", span).collect()
+            for name, value in doc.items():
+                own = [json.loads(r.record) for r in sorted(got, key=lambda r: r.position) if r.collection == name]
+                assert own == (value if isinstance(value, list) else [value]), (span, name)
+            assert len(got) == sum(len(v) if isinstance(v, list) else 1 for v in doc.values())
+    for odd in ('{"a":1} x', '{"a":[1', '{"a":"b'):
+        path.write_text(odd)
+        with pytest.raises(ValueError):
+            scene_json.read_scene(spark, f"file://{path}", 4)
 
 
 def test_workload(spark):  # S23
