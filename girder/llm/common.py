@@ -10,6 +10,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,28 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_open: list[list[str]] = []  # paths made within each `scratch` that has not ended
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for made in _open:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """What is written to scratch paths within is deleted at the end, but for the paths put into the list. Without it, tables that
+    a lazy result reads stay until the caller clears the folder."""
+    made: list[str] = []
+    kept: list[str] = []
+    _open.append(made)
+    try:
+        yield kept
+    finally:
+        _open.remove(made)
+        discard(spark, *(p for p in made if p not in kept))
 
 
 def save(df: DataFrame, label: str) -> tuple[DataFrame, str]:

@@ -9,8 +9,8 @@ Byte-pair merges never cross from a letter to a following space mark unless a pi
 no such piece, a text is the concatenation of its units (spaces with the word after them), and each distinct unit is
 encoded once.
 
-Null and empty texts give only the end id and decode to an empty text; doc_id may be null; rows that repeat are encoded
-each; an empty table gives an empty result; other columns are ignored.
+Null and empty texts give only the end id and decode to an empty text; a very long text is encoded whole; doc_id may be
+null; rows that repeat are encoded each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -133,9 +133,9 @@ class Normalizer:
 
 
 class PieceCodec:
-    """Encodes and decodes by a model file; remembers up to MOST units."""
+    """Encodes and decodes by a model file; remembers two generations of about MOST units, so that frequent ones stay."""
 
-    MOST = 300_000
+    MOST = 250_000
 
     def __init__(self, path: str):
         import sentencepiece
@@ -154,6 +154,7 @@ class PieceCodec:
         self.by_units = plain and not any(re.search("[^▁]▁", p) for p in own)
         self.lone = self.model.encode("a ")[len(self.model.encode("a")) :]  # a space mark by itself
         self.known: dict[bytes, tuple[list[int], bytes]] = {}
+        self.before: dict[bytes, tuple[list[int], bytes]] = {}
 
     def _units(self, text: bytes) -> list[bytes]:
         """What to encode by itself: the library puts a space mark before each, so all but the first leave one space out."""
@@ -168,10 +169,15 @@ class PieceCodec:
             found = [[*ids, self.end] for ids in self.model.encode([t.decode() for t in texts], num_threads=1)]
             return [(ids, b" ".join(b"%d" % i for i in ids)) for ids in found]
         split = [[] if MARK in t else self._units(t) for t in texts]  # a mark of the text's own makes units unclear
-        new = [u for u in set().union(*split) if u not in self.known]
-        if len(self.known) + len(new) > self.MOST:
-            self.known = {}
-            new = list(set().union(*split))
+        if len(self.known) > self.MOST:
+            self.known, self.before = {}, self.known
+        new = []
+        for u in set().union(*split):
+            if u not in self.known:
+                if u in self.before:
+                    self.known[u] = self.before[u]
+                else:
+                    new.append(u)
         for u, ids in zip(new, self.model.encode([u.decode() for u in new], num_threads=1)):
             ids = ids if u else self.lone
             self.known[u] = ids, b"".join(b"%d " % i for i in ids)
