@@ -41,6 +41,14 @@ def test_rows_without_a_key_are_one_key(spark):  # ST01, ST03, ST05
     assert {(r.frame, r.loaded, r.skipped) for r in folds.scheduled(frames, 10, 10).collect()} == {(0, "a", ""), (1, None, "a")}
 
 
+def test_equal_documents_take_equal_sources_in_turn(spark):  # J06
+    from girder.operators import changes
+
+    documents_ = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "a", "x"), (4, "b", "y")], "document long, discipline string, digest string")
+    sources = spark.createDataFrame([(11, "a", "x"), (12, "a", "x"), (13, "c", "y"), (14, "c", "x")], "source long, discipline string, digest string")
+    assert sorted(map(tuple, changes.matched_sources(documents_, sources).collect())) == [(1, 11), (2, 12), (3, 14), (4, 13)]
+
+
 def test_redaction(spark):  # P18
     one = lambda s, known=(): spark.range(1).select(scalars.redacted(F.lit(s), list(known)).alias("x")).first().x
     assert one(r"open \\srv\share\x.ifc, then D:/a b") == "open <path>, then <path> b"
