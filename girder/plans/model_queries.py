@@ -57,13 +57,15 @@ def step_headers(spark, d):  # S02, S03
     return part21.inspected_step(_heads(spark, d, _STEP, ".step"))
 
 
-@query("""SELECT count(*) + 2 AS lines, count(*) FILTER (p_partkey % 9 <> 0) AS instances, count(*) FILTER (p_partkey % 9 <> 0 AND p_partkey % 4 = 0) AS relations, max(p_partkey) FILTER (p_partkey % 9 <> 0) AS last_id, true AS enclosed FROM part""")
+@query("""SELECT count(*) + 5 AS lines, count(*) FILTER (p_partkey % 9 <> 0) AS instances, max(p_partkey) FILTER (p_partkey % 9 <> 0) AS last_id, count(*) FILTER (p_partkey % 9 <> 0 AND p_partkey % 4 = 0) AS relations,
+  0 AS mapped_items, 0 AS representation_maps, 0 AS projects, 0 AS sites, 0 AS buildings, count(*) FILTER (p_partkey % 9 <> 0 AND p_partkey % 4 = 1) AS storeys, count(*) FILTER (p_partkey % 9 <> 0 AND p_partkey % 4 = 2) AS spaces,
+  count(*) FILTER (p_partkey % 9 <> 0 AND p_partkey % 4 = 3) AS property_sets, 0 AS single_value_properties, true AS enclosed FROM part""")
 def entity_readiness(spark, d):  # S04
     k, part = F.col("p_partkey"), load(spark, d, "part")
-    kind = F.when(k % 4 == 0, "IfcRelAggregates").otherwise("IFCWALL")
+    kind = F.get(F.array(*map(F.lit, ("IfcRelAggregates", "IFCBUILDINGSTOREY", "IfcSpace", "IFCPROPERTYSET"))), (k % 4).cast("int"))
     line = F.when(k % 9 == 0, F.concat(F.lit("not #"), k, F.lit("=X()"))).otherwise(F.concat(F.lit("#"), k, F.lit(" = ("), kind, F.lit("('')")))
-    ends = spark.range(2).select(F.when(F.col("id") == 0, "ISO-10303-21;").otherwise("END-ISO-10303-21;").alias("value"))
-    return part21.readiness(part.select(line.alias("value")).unionByName(ends))
+    ends = spark.createDataFrame([(-3, " ISO-10303-21;"), (-2, "HEADER;"), (-1, "DATA;"), (1 << 60, "END-ISO-10303-21;"), ((1 << 60) + 1, "  ")], "place long, value string")
+    return part21.readiness(part.select(k.alias("place"), line.alias("value")).unionByName(ends), "place")
 
 
 @query("""SELECT 'suppliers' AS collection, row_number() OVER (ORDER BY s_suppkey) - 1 AS position, s_suppkey AS k, s_name AS name FROM supplier""")

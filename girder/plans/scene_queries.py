@@ -482,12 +482,14 @@ def reopen_verdicts(spark, d):  # J08, J09, A20
     return changes.worst(status, ["source"])
 
 
-@query("""SELECT document, source FROM (SELECT d.s_suppkey AS document, s.s_suppkey AS source, row_number() OVER (PARTITION BY s.s_suppkey ORDER BY d.s_suppkey) AS r FROM
-  (SELECT s_suppkey, s_nationkey AS k, s_suppkey % 10 AS g FROM supplier WHERE s_suppkey % 2 = 0) d JOIN (SELECT min(s_suppkey) AS s_suppkey, s_nationkey AS k FROM supplier WHERE s_suppkey % 2 = 1 GROUP BY s_nationkey HAVING count(*) = 1) s USING (k)) WHERE r = 1""")
-def source_match(spark, d):  # J06: no discipline agrees here, so single digests decide
-    s = load(spark, d, "supplier")
-    docs = s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("document"), F.concat(F.lit("d"), "s_suppkey").alias("discipline"), F.col("s_nationkey").alias("digest"))
-    return changes.matched_sources(docs, s.where("s_suppkey % 2 = 1").select(F.col("s_suppkey").alias("source"), F.concat(F.lit("s"), "s_suppkey").alias("discipline"), F.col("s_nationkey").alias("digest")))
+@query("""WITH d AS (SELECT s_suppkey AS document, s_nationkey % 5 AS k, s_suppkey % 40 AS g FROM supplier WHERE s_suppkey % 2 = 0), s AS (SELECT s_suppkey AS source, s_nationkey % 5 AS k, (s_suppkey - 1) % 40 AS g FROM supplier WHERE s_suppkey % 2 = 1),
+e AS (SELECT document, source FROM (SELECT *, row_number() OVER (PARTITION BY k, g ORDER BY document) AS r FROM d) JOIN (SELECT *, row_number() OVER (PARTITION BY k, g ORDER BY source) AS r FROM s) USING (k, g, r)),
+f AS (SELECT g, min(source) AS source FROM s WHERE source NOT IN (SELECT source FROM e) GROUP BY g HAVING count(*) = 1)
+SELECT * FROM e UNION ALL SELECT min(document), source FROM d JOIN f USING (g) WHERE document NOT IN (SELECT document FROM e) GROUP BY source""")
+def source_match(spark, d):  # J06
+    k, nation, s = F.col("s_suppkey"), (F.col("s_nationkey") % 5).alias("discipline"), load(spark, d, "supplier")
+    docs = s.where("s_suppkey % 2 = 0").select(k.alias("document"), nation, (k % 40).alias("digest"))
+    return changes.matched_sources(docs, s.where("s_suppkey % 2 = 1").select(k.alias("source"), nation, ((k - 1) % 40).alias("digest")))
 
 
 @query("""SELECT o_custkey AS document, sha256(string_agg(sha256(o_orderkey || chr(0) || o_orderstatus), chr(10) ORDER BY o_orderkey)) AS digest FROM orders GROUP BY 1""")

@@ -78,16 +78,28 @@ def histogram(lines: DataFrame, column: str = "value") -> DataFrame:
     return entities(lines, column).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.max("entity_id").alias("last_id"))
 
 
-def readiness(lines: DataFrame, column: str = "value") -> DataFrame:
-    """One row: lines, instances, types, relations (types that begin with IFCREL) and the largest id, and whether the text is
-    enclosed as it should be (S04). One pass; what reaches the last task is a row for each task."""
-    text = F.trim(column)
+# fixed values: the entity types that a scan counts by name
+INDICATORS = {
+    "mapped_items": "IFCMAPPEDITEM", "representation_maps": "IFCREPRESENTATIONMAP", "projects": "IFCPROJECT", "sites": "IFCSITE", "buildings": "IFCBUILDING", "storeys": "IFCBUILDINGSTOREY",
+    "spaces": "IFCSPACE", "property_sets": "IFCPROPERTYSET", "single_value_properties": "IFCPROPERTYSINGLEVALUE",
+}
+
+
+def readiness(lines: DataFrame, place: str, column: str = "value") -> DataFrame:
+    """One row (S04): lines, instances, the largest id, relations (types that begin with IFCREL), the types of INDICATORS, and
+    whether the text is enclosed as it should be: its first and last lines with content, and HEADER; before DATA;. `place`
+    orders the lines. One pass; what reaches the last task is a row for each task."""
+    text, at = F.trim(column), F.col(place)
     own = F.when(F.col(column).rlike(ENTITY), F.upper(F.regexp_extract(column, ENTITY, 2)))
-    return lines.agg(
-        F.count(F.lit(1)).alias("lines"), F.count(own).alias("instances"), F.count_if(own.startswith("IFCREL")).alias("relations"),
-        F.max(F.when(own.isNotNull(), F.regexp_extract(column, ENTITY, 1).cast("long"))).alias("last_id"),
-        ((F.count_if(text == "ISO-10303-21;") == 1) & (F.count_if(text == "END-ISO-10303-21;") == 1)).alias("enclosed"),
+    full = F.when(text != "", at)
+    sums = lines.agg(
+        F.count(F.lit(1)).alias("lines"), F.count(own).alias("instances"), F.max(F.when(own.isNotNull(), F.regexp_extract(column, ENTITY, 1).cast("long"))).alias("last_id"),
+        F.count_if(own.startswith("IFCREL")).alias("relations"), *[F.count_if(own == kind).alias(name) for name, kind in INDICATORS.items()],
+        F.min_by(text, full).alias("_first"), F.max_by(text, full).alias("_last"),
+        F.min(F.when(text == "DATA;", at)).alias("_data"), F.min(F.when(F.contains(column, F.lit("HEADER;")), at)).alias("_header"),
     )
+    enclosed = (F.col("_first") == "ISO-10303-21;") & (F.col("_last") == "END-ISO-10303-21;") & (F.col("_header") <= F.col("_data"))
+    return sums.withColumn("enclosed", F.coalesce(enclosed, F.lit(False))).drop("_first", "_last", "_data", "_header")
 
 
 def unsupported(lines: DataFrame, supported: DataFrame, column: str = "value") -> DataFrame:
