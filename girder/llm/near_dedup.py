@@ -7,15 +7,20 @@ candidates far below the threshold, the large one those below about 0.67. The re
 texts. A pair at the threshold of 0.75 shares no band with probability 5e-6, and is discarded by its sketches with about
 the same probability.
 
-Documents of one set are one node (their smallest doc_id stands for them), so exact copies never meet. In each band's
-bucket all members are held against its smallest member only, and confirmed links are joined to components. Only where a
-bucket still holds several components, its members outside the main one are held against all members of other
-components; the sketch tests are part of that join, so pairs of one component are never made, and a pair comes from the
-first band that it shares only.
+Documents of one set are one node (their smallest doc_id stands for them), so exact copies never meet. The smallest member
+of a band's bucket is its pivot. Each document is first held against the pivot that it shares most buckets with, and
+confirmed links are joined to components. Where a bucket then still holds several components, its members outside the
+pivot's are held against the pivot. Only what still is apart is held against all members of other components; the sketch
+tests are part of that join, so pairs of one component are never made, and a pair comes from the first band that it shares
+only.
+
+To be confirmed, a pair's texts meet in a task: that of a document with many partners is sent once to each of at most SALTS
+tasks, and theirs stream past it.
 
 Nulls and edge cases: null and empty texts have an empty set and are linked with nothing; a text of 1 to 4 words is one
-shingle; a null doc_id is never linked, has a null component_id and is kept; rows of one doc_id are one document; an
-empty table gives an empty result; other columns are ignored.
+shingle; a very long text is a chunk of its own and compared whole; a null doc_id is never linked, has a null component_id
+and is kept; rows of one doc_id are one document, also where their texts differ; of equal sets the smallest doc_id stands
+for all; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ SHINGLE, PERCENT = 5, 75
 SAMPLES, ROWS, BITS = 128, 4, 512
 MORE_SAMPLES, FINE_BITS = 512, 4096
 BANDS = SAMPLES // ROWS
+SALTS = 16  # tasks that the pairs of one document are dealt to
 MAX_APART = 110  # bits of two small sketches that may differ; at a similarity of 0.75 it is 57 on average, with a deviation below 10
 FINE_APART = 386  # the same of large ones: 296 on average, with a deviation of 20
 
@@ -107,24 +113,52 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "text_b", 2 << 20):
-        a, b = as_bytes(batch.column("text_a")), as_bytes(batch.column("text_b"))
-        own = {t: i for i, t in enumerate(dict.fromkeys(a))}
-        (sa, va), (sb, vb) = shingle_sets(list(own)), shingle_sets(b)
-        keep = []
-        for i, t in enumerate(a):
-            x, y = va[sa[own[t]] : sa[own[t] + 1]], vb[sb[i] : sb[i + 1]]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both) and both > 0)
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    """Texts sorted by (a, salt, b): a's own, where b is null, then its partners'. Only a's sets are held."""
+    key, sets = None, []
+    for batch in chunks(batches, limit=2 << 20):
+        starts, values = shingle_sets(as_bytes(batch.column("text")))
+        found: list[tuple[int, int]] = []
+        for i, (a, salt, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "b")))):
+            own = values[starts[i] : starts[i + 1]]
+            if (a, salt) != key:
+                key, sets = (a, salt), []
+            if b is None:
+                if not any(np.array_equal(own, s) for s in sets):  # rows of one doc_id may have several texts
+                    sets.append(own.copy())
+            elif any(_similar(own, s) for s in sets):
+                found.append((a, b))
+        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def beside(pairs: DataFrame, one: str, other: str, own: DataFrame) -> DataFrame:
+    """pairs with the columns of the document in `one`. own(doc_id, ...). A document of many pairs would be one task's, so it is
+    copied to each of the SALTS tasks, by the other document, that have a pair of it."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
+    copies = salted.select(one, "salt").distinct().join(own.withColumnRenamed("doc_id", one), one)
+    return salted.join(copies, [one, "salt"]).drop("salt")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts' full sets are similar."""
-    one = docs.where("doc_id is not null")
-    with_b = pairs.join(one.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(one.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
+    """The pairs (a, b) of doc_ids whose texts' full sets are similar. The texts are dealt once to the pairs, and once more to where
+    these meet. Pairs grow with the corpus, so they are never broadcast, however few they are."""
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"))
+    hubs = salted.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(None).cast("long").alias("b")).distinct()
+    texts = hubs.unionByName(salted.select(F.col("b").alias("doc_id"), "a", "salt", "b")).hint("merge").join(docs, "doc_id")
+    met = texts.select("a", "salt", "b", "text").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return met.mapInArrow(_confirm, "a long, b long").distinct()
+
+
+def sketched(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches leave a similarity at the threshold possible."""
+    both = beside(pairs.join(sketches.toDF("b", "y", "fy"), "b"), "a", "b", sketches.toDF("doc_id", "x", "fx"))
+    return both.where(close("x", "y", "fx", "fy")).select("a", "b")
 
 
 def apart(x: str, y: str) -> F.Column:
@@ -138,6 +172,33 @@ def close(x: str, y: str, fine_x: str, fine_y: str) -> F.Column:
     return F.when(apart(x, y) <= MAX_APART, fine <= FINE_APART).otherwise(False)
 
 
+class _Links:
+    """Links confirmed so far, and the components that they make."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs, self.spark = docs, docs.sparkSession
+        self.links: DataFrame | None = None
+        self.links_at: str | None = None
+        self.found: DataFrame | None = None
+        self.found_at: str | None = None
+
+    def add(self, pairs: DataFrame) -> None:
+        """Confirm some pairs (a, b) and join them to what is known."""
+        pairs, pairs_at = save(pairs, "op5-pairs")
+        if self.found is None or not pairs.isEmpty():
+            fresh = confirmed(pairs, self.docs)
+            old = [p for p in (self.links_at, self.found_at) if p]
+            self.links, self.links_at = save(fresh if self.links is None else self.links.unionByName(fresh), "op5-links")
+            self.found, self.found_at = components(self.links)
+            discard(self.spark, *old)
+        discard(self.spark, pairs_at)
+
+    def placed(self, members: DataFrame) -> DataFrame:
+        """members with their component: their own doc_id where nothing links them."""
+        joined = members.join(self.found.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        return joined.withColumn("component", F.coalesce("component", "doc_id"))
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row per row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -148,29 +209,33 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     bands = nodes.select("doc_id", F.posexplode("bands").alias("turn", "band"))
     pivots = bands.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot <> last").drop("last")
     members, members_at = save(bands.join(pivots, "band"), "op5-members")
-    star = members.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     sketches = nodes.select("doc_id", "sketch", "fine")
-    star = star.join(sketches.toDF("a", "x", "fx"), "a").join(sketches.toDF("b", "y", "fy"), "b").where(close("x", "y", "fx", "fy"))
-    links, links_at = save(confirmed(star.select("a", "b").distinct(), docs), "op5-links")
-    found, found_at = components(links)
-
-    # What the stars leave open: buckets that still hold several components.
-    placed = members.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    several = placed.groupBy("band").agg(F.min_by("component", "doc_id").alias("main"), F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("size")).where("least <> most and size > 2").select("band", "main")
-    left = placed.where("doc_id <> pivot").join(several, "band")
-    left = left.join(nodes.select("doc_id", "sketch", "fine", F.transform("bands", lambda b: b.bitwiseAND(0x7FFFFFFF).cast("int")).alias("own")), "doc_id")
+    open_bands = lambda placed: placed.groupBy("band").agg(F.min_by("component", "doc_id").alias("main"), F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("size")).where("least <> most").select("band", "main", "size")
+
+    shared = members.where("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    best = shared.groupBy(F.col("doc_id").alias("b")).agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("a")).select("a", "b")
+    # of the texts only those that share a bucket are needed; that side grows with the corpus, so it is not broadcast
+    texts, texts_at = save(docs.join(members.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi"), "op5-texts")
+    links = _Links(texts)
+    links.add(sketched(best, sketches))
+
+    # Buckets that still hold several components: what is outside the pivot's is held against the pivot,
+    placed = links.placed(members)
+    apart_ = placed.where("doc_id <> pivot").join(open_bands(placed), "band").where("component <> main")
+    pivots_left = apart_.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
+    links.add(sketched(pivots_left, sketches))
+
+    # and where that leaves several, against all members of other components.
+    placed = links.placed(members)
+    left = placed.where("doc_id <> pivot").join(open_bands(placed).where("size > 2"), "band").join(nodes.select("doc_id", "sketch", "fine", F.col("bands").alias("own")), "doc_id")
     others = left.where("component <> main").select("band", "turn", F.col("doc_id").alias("p"), F.col("component").alias("cp"), F.col("sketch").alias("x"), F.col("fine").alias("fx"), F.col("own").alias("op"))
     against = left.select(F.col("band").alias("bucket"), F.col("doc_id").alias("q"), F.col("component").alias("cq"), F.col("main").alias("mq"), F.col("sketch").alias("y"), F.col("fine").alias("fy"), F.col("own").alias("oq"))
     first = ~F.exists(F.slice(F.zip_with("op", "oq", lambda a, b: a == b), F.lit(1), F.col("turn")), lambda e: e)
     once = F.expr("cp <> cq and (cq = mq or p < q)")  # two others meet from either side
     rest = others.join(against, [F.col("band") == F.col("bucket"), F.when(once, F.when(close("x", "y", "fx", "fy"), first).otherwise(False)).otherwise(False)])
-    rest, rest_at = save(rest.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "op5-rest")
-    if not rest.isEmpty():
-        more, more_at = save(links.union(confirmed(rest, docs)), "op5-links")
-        discard(docs.sparkSession, found_at)
-        found, found_at = components(more)
-        discard(docs.sparkSession, more_at)
-    discard(docs.sparkSession, links_at, rest_at, members_at)
+    links.add(rest.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
+    found = links.found
+    discard(docs.sparkSession, members_at, texts_at, links.links_at)
 
     of_set = sets.join(found.withColumnRenamed("id", "node"), "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component"))
     out = signed.select("doc_id", "n", "k1", "k2").join(of_set, ["k1", "k2", "n"], "left")
@@ -182,3 +247,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the documents that near-duplicate one of a smaller doc_id; rows of one doc_id stay or go together."""
     gone = near_dedup(docs).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ORACLE = rf"""
+WITH RECURSIVE cut AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM cut, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 2))) AS i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= {PERCENT} * (x.n + y.n - m)),
+sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS node, b AS other FROM sides UNION SELECT r.node, s.b FROM reach r JOIN sides s ON s.a = r.other),
+least_ AS (SELECT node, min(other) AS m FROM reach GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, doc_id <= coalesce(m, doc_id) AS kept
+FROM cut LEFT JOIN n USING (doc_id) LEFT JOIN least_ ON node = doc_id"""

@@ -28,6 +28,7 @@ from girder.llm.common import save
 MIN_WORDS, REPEAT_PERCENT, SPAN = 20, 30, 8
 RISK, LEVEL = 0.05, 0.05
 TAIL_TERMS = 20_000
+FEW = 10_000  # strata whose cutoffs are broadcast, about 200 bytes each
 WHITE, SYMBOLS, CAPITALS = " \t\n\x0b\f\r", "#*$%&|<>", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -126,14 +127,17 @@ def calibrate(measured: DataFrame, labels: DataFrame) -> DataFrame:
 
     proposed = seen.select("stratum", *[proposal(r).alias(f"p_{r}") for r in RULES])
     steps = proposed.select("stratum", F.explode(F.sequence(F.lit(0), F.lit(STEPS - 1))).alias("step"), *[f"p_{r}" for r in RULES])
-    cutoff = lambda r, cuts: F.get(F.array(*map(F.lit, cuts)), F.greatest(F.lit(len(cuts) - 1) - F.col("step"), F.col(f"p_{r}")))
-    ladder = steps.select("stratum", "step", *[cutoff(r, cuts).alias(f"c_{r}") for r, (_, cuts) in RULES.items()])
+    place = lambda r, cuts: F.greatest(F.lit(len(cuts) - 1) - F.col("step"), F.col(f"p_{r}"))
+    cutoff = lambda r, cuts: F.get(F.array(*map(F.lit, cuts)), place(r, cuts))
+    ladder = steps.select("stratum", "step", *[f(r, cuts).alias(f"{n}_{r}") for r, (_, cuts) in RULES.items() for n, f in (("c", cutoff), ("i", place))])
 
-    # a row for each stratum and step, so the join multiplies held-out documents by STEPS and is summed at once
+    # documents are counted by how many cutoffs of each rule they reach, so what meets a stratum's ladder is bounded by the grids
+    reached = lambda r, cuts: F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col(f"r_{r}") >= c)).alias(f"l_{r}")
+    held_out = good.where("not proposing").groupBy("stratum", *[reached(r, cuts) for r, (_, cuts) in RULES.items()]).agg(F.count(F.lit(1)).alias("docs"))
     any_ = F.lit(False)
     for r in RULES:
-        any_ = any_ | F.coalesce(F.col(f"r_{r}") >= F.col(f"c_{r}"), F.lit(False))
-    tests = good.where("not proposing").join(ladder, "stratum").groupBy("stratum", "step", *[f"c_{r}" for r in RULES]).agg(F.count(F.lit(1)).alias("n"), F.sum(any_.cast("long")).alias("k"))
+        any_ = any_ | F.coalesce(F.col(f"l_{r}") > F.col(f"i_{r}"), F.lit(False))
+    tests = held_out.join(ladder, "stratum").groupBy("stratum", "step", *[f"c_{r}" for r in RULES]).agg(F.sum("docs").alias("n"), F.sum(F.when(any_, F.col("docs")).otherwise(0)).alias("k"))
     strata = tests.agg(F.count_distinct("stratum").alias("strata"))
     passed = tests.crossJoin(strata).withColumn("passes", binomial_tail(F.col("k"), F.col("n"), RISK) <= F.lit(LEVEL) / F.col("strata"))  # strata is one row
     failed = passed.where("not passes").groupBy(F.col("stratum").alias("s")).agg(F.min("step").alias("stop"))
@@ -144,7 +148,9 @@ def calibrate(measured: DataFrame, labels: DataFrame) -> DataFrame:
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     measured, _ = save(features(docs), "op9-features")
-    found = measured.join(calibrate(measured, labels), "stratum", "left")
+    cutoffs, _ = save(calibrate(measured, labels), "op9-cutoffs")
+    # a row for each stratum: broadcast while they are few, as a frequent stratum would else be one task's
+    found = measured.join(F.broadcast(cutoffs) if cutoffs.count() <= FEW else cutoffs, "stratum", "left")
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     rejects = F.lit(False)
     for rule, rate in rates().items():
@@ -175,8 +181,10 @@ def _oracle() -> str:
 WITH base AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents
 ), cut AS (
-  SELECT *, regexp_extract_all(text, '[^ 	-]+') AS words,
-    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM base
+  SELECT *, regexp_extract_all(text, '[^ 	-
+]+') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM base
 ), spans AS (
   SELECT rid, i, list_slice(words, i, i + 7) AS span, len(words) AS n FROM cut, LATERAL (SELECT unnest(range(1, len(words) - 6)) AS i)
 ), again AS (
@@ -184,7 +192,8 @@ WITH base AS (
 ), covered AS (
   SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM again, (SELECT unnest(range(0, 8)) AS j) GROUP BY rid
 ), f AS (
-  SELECT doc_id, stratum, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[ 	-]+', '', 'g'))::BIGINT AS word_chars,
+  SELECT doc_id, stratum, len(words)::BIGINT AS n_words, length(regexp_replace(text, '[ 	-
+]+', '', 'g'))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(text, '[^A-Z]+', '', 'g'))::BIGINT AS n_capitals,
     length(regexp_replace(text, '[^!]+', '', 'g'))::BIGINT AS n_exclaims, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM cut LEFT JOIN covered USING (rid)

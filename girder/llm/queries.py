@@ -7,11 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from girder.llm import decontam, quality, secrets, sharding, warc
+from girder.llm import decontam, near_dedup, quality, secrets, sharding, substring_dedup, warc
 from girder.llm.common import table
-from girder.llm.near_dedup import near_dedup
 from girder.llm.piece_codec import piece_codec
-from girder.llm.substring_dedup import substring_dedup
 from girder.llm.token_counts import token_counts
 from girder.llm.token_store import token_round_trip
 
@@ -19,7 +17,7 @@ WORDS, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents"), keep_text=False).drop("kept_text")
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), keep_text=False).drop("kept_text")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +33,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +70,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup.ORACLE,
+    "op5_near_dedup": near_dedup.ORACLE,
     "op3_warc": warc.ORACLE,
     "op7_secret_scan": secrets.ORACLE,
     "op9_quality_rules": quality.ORACLE,

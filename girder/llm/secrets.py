@@ -125,9 +125,10 @@ def trigram_query(pattern: str) -> Query:
 
 def index(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """Postings (trigram, doc_id), each once, of the given trigrams."""
-    # what starts at each place; the classes of the three letters turn most places down before the trigrams are tried
+    # what starts at each place: the classes of the three letters turn most places down, then the trigrams are tried by first letter
     classes = "".join("[" + "".join(sorted({re.escape(t[k]) for t in trigrams})) + "]" for k in range(3))
-    pattern = f"(?={classes})(?=({'|'.join(map(re.escape, trigrams))}))"
+    by_first = {c: [re.escape(t[1:]) for t in trigrams if t[0] == c] for c in sorted({t[0] for t in trigrams})}
+    pattern = f"(?={classes})(?=({'|'.join(f'{re.escape(c)}(?:{chr(124).join(rest)})' for c, rest in by_first.items())}))"
     held = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(1)))
     return docs.select("doc_id", F.explode(held).alias("trigram")).distinct()
 

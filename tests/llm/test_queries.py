@@ -1,0 +1,29 @@
+"""Every registered corpus query with SQL against that SQL in DuckDB, on the smallest tables; the others give all rows."""
+
+import duckdb
+import pytest
+
+from girder.llm.queries import ORACLE_SQL, QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for t in ("documents", "pages", "labels", "benchmark"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_its_sql(spark, duck, name):
+    want = duck.sql(ORACLE_SQL[name])
+    got = QUERIES[name](spark, SF).select(*want.columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+@pytest.mark.parametrize("name", ["op2_token_counts", "op4_token_files", "op8_sentencepiece"])
+def test_query_gives_every_document(spark, duck, name):
+    got = sorted(r.doc_id for r in QUERIES[name](spark, SF).select("doc_id").collect())
+    assert got == sorted(r[0] for r in duck.sql("SELECT doc_id FROM documents").fetchall())
