@@ -7,8 +7,8 @@ chunk go through the automaton side by side, a byte at a time.
 
 A word is a run of bytes outside 0x20 and 0x09-0x0D, with A-Z lower-cased, closed by an end mark that pieces ending in
 "</w>" include; an end mark left over by itself counts nothing. A word that pieces cannot cover counts as one token.
-Null and empty texts have no words and no tokens; doc_id may be null; rows that repeat are counted each; an empty table
-gives an empty result; other columns are ignored.
+Null and empty texts have no words and no tokens; a very long text is a chunk of its own; doc_id may be null; rows that
+repeat are counted each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
