@@ -58,8 +58,8 @@ def step_headers(spark, d):  # S02, S03
 
 
 @query("""SELECT count(*) + 5 AS lines, count(*) FILTER (p_partkey % 9 <> 0) AS instances, max(p_partkey) FILTER (p_partkey % 9 <> 0) AS last_id, count(*) FILTER (p_partkey % 9 <> 0 AND p_partkey % 4 = 0) AS relations,
-  0 AS mapped_items, 0 AS representation_maps, 0 AS projects, 0 AS sites, 0 AS buildings, count(*) FILTER (p_partkey % 9 <> 0 AND p_partkey % 4 = 1) AS storeys, count(*) FILTER (p_partkey % 9 <> 0 AND p_partkey % 4 = 2) AS spaces,
-  count(*) FILTER (p_partkey % 9 <> 0 AND p_partkey % 4 = 3) AS property_sets, 0 AS single_value_properties, true AS enclosed FROM part""")
+  0::BIGINT AS mapped_items, 0::BIGINT AS representation_maps, 0::BIGINT AS projects, 0::BIGINT AS sites, 0::BIGINT AS buildings, count(*) FILTER (p_partkey % 9 <> 0 AND p_partkey % 4 = 1) AS storeys, count(*) FILTER (p_partkey % 9 <> 0 AND p_partkey % 4 = 2) AS spaces,
+  count(*) FILTER (p_partkey % 9 <> 0 AND p_partkey % 4 = 3) AS property_sets, 0::BIGINT AS single_value_properties, true AS enclosed FROM part""")
 def entity_readiness(spark, d):  # S04
     k, part = F.col("p_partkey"), load(spark, d, "part")
     kind = F.get(F.array(*map(F.lit, ("IfcRelAggregates", "IFCBUILDINGSTOREY", "IfcSpace", "IFCPROPERTYSET"))), (k % 4).cast("int"))
