@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from girder.llm import decontam, near_dedup, quality, secrets, sharding, substring_dedup, turn_repair, warc
+from girder.llm import decontam, hard_negatives, near_dedup, quality, secrets, sharding, substring_dedup, turn_repair, warc
 from girder.llm.common import table
 from girder.llm.piece_codec import piece_codec
 from girder.llm.token_counts import token_counts
@@ -56,6 +56,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(table(spark, sf_dir, "conversations"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -81,5 +86,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_secret_scan": secrets.ORACLE,
     "op9_quality_rules": quality.ORACLE,
     "op10_sharding": sharding.ORACLE,
+    "op11_hard_negatives": hard_negatives.ORACLE,
     "op13_conversation_repair": turn_repair.ORACLE,
 }
