@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from girder.llm import decontam, hard_negatives, near_dedup, quality, secrets, sharding, substring_dedup, turn_repair, warc
+from girder.llm import decontam, hard_negatives, near_dedup, quality, rule_ensemble, secrets, sharding, substring_dedup, turn_repair, warc
 from girder.llm.common import table
 from girder.llm.piece_codec import piece_codec
 from girder.llm.token_counts import token_counts
@@ -60,6 +60,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repair(table(spark, sf_dir, "conversations"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_sharding": op10_sharding,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
