@@ -124,8 +124,13 @@ def pivot_table(rows: DataFrame, space: Space, anchors: bool, size: int, label:
     count, size = found.count(), max(1, min(size, CELLS // max(1, space.width)))
     parts = max(-(-count // size) * 2, 1 if anchors else min(spark.sparkContext.defaultParallelism, -(-count // 512)), 1)
     ordered = found.repartitionByRange(parts, "near", "depth", "rid").sortWithinPartitions("near", "depth", "rid").withColumn("place", F.monotonically_increasing_id())
-    placed = ordered.withColumn("block", F.shiftright("place", 33) * F.lit(1 << 20) + F.expr(f"(place & {(1 << 33) - 1}) DIV {size}"))
-    return save(placed.drop("near", "depth", "place"), f"op11-{label}")[0]
+    placed, _ = save(ordered.drop("near", "depth"), f"op11-{label}")
+    # a row's number over all ranges: the rows of the ranges before it, a number for each range, are added
+    part = F.shiftright("place", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    numbered = placed.withColumn("part", part).join(F.broadcast(before), "part")
+    return numbered.withColumn("block", F.expr(f"(before + (place & {(1 << 33) - 1})) DIV {size}")).drop("part", "before", "place")
 
 
 def extent(table: DataFrame, key: str, prefix: str) -> DataFrame:
@@ -140,7 +145,7 @@ def pairs(groups: DataFrame, blocks: DataFrame, wanted: DataFrame, space: Space)
     rows, in blocks. `wanted` has floor and ceiling by anchor."""
     asked = wanted.groupBy("grp").agg(F.min("floor").alias("floor"), F.max("ceiling").alias("ceiling")).join(groups, "grp")
     listed = asked.select("*", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal"))
-    dealt = blocks.withColumn("deal", F.pmod(F.col("block") + F.shiftright("block", 20), F.lit(DEALS)).cast("int"))
+    dealt = blocks.withColumn("deal", F.pmod("block", F.lit(DEALS)).cast("int"))
     met = listed.join(dealt, "deal")
     apart = F.zip_with(F.zip_with("glo", "bhi", lambda a, b: a - b), F.zip_with("blo", "ghi", lambda a, b: a - b), lambda a, b: F.greatest(a, b))
     least = F.greatest(F.lit(0.0), F.array_max(apart).cast("double"))
