@@ -90,9 +90,10 @@ def brute_leaves(boxes, capacity, path=""):
     return brute_leaves(boxes[:half], capacity, path + "0") | brute_leaves(boxes[half:], capacity, path + "1")
 
 
-@pytest.mark.parametrize("in_a_task", [1, 20, 1 << 16])
-def test_leaves(spark, monkeypatch, in_a_task):  # G08
+@pytest.mark.parametrize("in_a_task,about", [(1, 0.005), (20, 0.005), (20, 0.4), (1 << 16, 0.005)])
+def test_leaves(spark, monkeypatch, in_a_task, about):  # G08; brackets that hold few rows, or miss the middle, or hold nearly all
     monkeypatch.setattr(spatial, "TASK_BOXES", in_a_task)
+    monkeypatch.setattr(spatial, "ABOUT", about)
     r = random.Random(3)
     boxes = [(f"id{i:03d}", *[v for _ in range(3) for a in [r.randint(0, 9)] for v in (a, a + r.randint(0, 3))]) for i in range(60)]
     columns = "id string, min_x long, max_x long, min_y long, max_y long, min_z long, max_z long"
@@ -108,12 +109,6 @@ def test_frustum():  # P13, G16
     assert spatial.frustum_planes(IDENTITY) == [(1, 0, 0, 1), (-1, 0, 0, 1), (0, 1, 0, 1), (0, -1, 0, 1), (0, 0, 1, 0), (0, 0, -1, 1)]
 
 
-def test_demand(spark):  # G09, P14, A15: touching a plane is visible
-    boxes = spark.createDataFrame([("0", -2.0, -1.0, -1.0, 1.0, -1.0, 1.0), ("1", 5.0, 6.0, 0.0, 1.0, 0.0, 1.0)], "leaf string, min_x double, max_x double, min_y double, max_y double, min_z double, max_z double")
-    links = spark.createDataFrame([("0", 0), ("1", 1)], "leaf string, chunk int")
-    assert [tuple(r) for r in spatial.demand(boxes, links, IDENTITY, (0.0, 0.0, 0.0)).collect()] == [(0, 1.0, 1)]
-
-
 def test_snapshot_changes(spark):  # J07
     schema = "discipline string, digest string, uri string"
     before = spark.createDataFrame([("architecture", "aaa", "a"), ("plumbing", "ccc", "p"), ("structure", "bbb", "s")], schema)
