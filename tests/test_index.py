@@ -51,13 +51,15 @@ def around(rows):
     return [f(r[i] for r in rows) for k in range(3) for i, f in ((2 + 2 * k, min), (3 + 2 * k, max))]
 
 
-def test_frames(spark, boxes, placed):  # J24, G09, A15, T06
+@pytest.mark.parametrize("top", [16, 3])
+def test_frames(spark, boxes, placed, top, monkeypatch):  # J24, G09, A15, T06; also with levels that meet by paths
+    monkeypatch.setattr(spatial_index, "TOP", top)
+    monkeypatch.setattr(spatial_index, "PAIRS", 3)
     leaf = {r.id: r.leaf for r in placed.collect()}
     frames = spark.createDataFrame(views(), "frame long, " + ", ".join(f"{c} double" for c in spatial_index.MATRIX + spatial_index.ORIGIN))
     seen = spatial_index.see(spatial_index.nodes(placed), frames)
     stats = {r.frame: tuple(r)[1:] for r in seen.stats().collect()}
     demand = {(r.frame, r.chunk): r for r in seen.demand(placed.select("leaf", "chunk").distinct()).collect()}
-    tested = 0
     for frame, *rest in views():
         m, o = rest[:16], rest[16:]
         visited = leaves = items = 0
@@ -76,7 +78,6 @@ def test_frames(spark, boxes, placed):  # J24, G09, A15, T06
                     want[c] = min(d, distance), max(v, coverage)
             else:
                 stack += [path + "0", path + "1"]
-        tested += visited
         if visited > 1 or leaves:
             assert stats[frame] == (visited, leaves, items)
         else:
@@ -84,7 +85,7 @@ def test_frames(spark, boxes, placed):  # J24, G09, A15, T06
         assert {c: pytest.approx((r.distance, r.coverage)) for (f, c), r in demand.items() if f == frame} == want
         near, wide = (sorted((r for (f, _), r in demand.items() if f == frame), key=k) for k in (lambda r: (r.distance, r.chunk), lambda r: (-r.coverage, r.distance, r.chunk)))
         assert [r.by_distance for r in near] == [r.by_coverage for r in wide] == list(range(1, len(near) + 1))
-    assert seen.tested == tested < len(views()) * spatial_index.nodes(placed).count()
+    assert sum(v for v, _, _ in stats.values()) < len(stats) * spatial_index.nodes(placed).count() * 0.8
     none = spatial_index.see(spatial_index.nodes(placed.where("1 = 0")), frames)
     assert none.stats().count() == none.demand(placed.select("leaf", "chunk")).count() == 0
 
