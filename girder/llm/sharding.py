@@ -7,7 +7,7 @@ parameter, so it is broadcast; a row's slot is a digest of its key, so placement
 rows of one key land together, evenly spread whatever their source.
 
 Nulls and edge cases: a null key is placed like the empty string; rows that repeat go to the same shard; texts are not
-read; an empty table gives an empty result; columns of docs are kept, except that `slot` and `shard` are replaced.
+read; an empty table gives an empty result; columns of docs are kept, except that `slot` and `shard`, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -57,8 +57,9 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 def place(docs: DataFrame, key: str = "doc_id", shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
     """docs with `slot` and `shard`."""
-    found = docs.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots))
-    return found.join(F.broadcast(lookup(docs.sparkSession, shard_names(shards), slots)), "slot").select(*[c for c in docs.columns if c not in ("slot", "shard")], "slot", "shard")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("slot", "shard")]  # names differ by more than case
+    found = docs.select(*rest, slot_of(F.col(key), slots).alias("slot"))
+    return found.join(F.broadcast(lookup(docs.sparkSession, shard_names(shards), slots)), "slot").select(*rest, "slot", "shard")
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", shards: int = SHARDS) -> None:
