@@ -40,7 +40,6 @@ from girder.llm.common import Words, as_bytes, chunks, scratch_path
 END_ID = 1
 FILE_IDS, FILE_DOCS = 32 << 20, 1 << 20  # ids or documents after which a task starts another file
 PART_BYTES = 32 << 20  # text bytes of a range of documents
-_NO_ID = np.iinfo(np.int64).min
 _HEAD = np.dtype([("magic", "S4"), ("width", "<u4"), ("docs", "<u8"), ("ids", "<u8"), ("bounds", "<u8"), ("numbers", "<u8")])
 
 
@@ -54,7 +53,7 @@ class EliasFano:
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
-        if len(values) and (int(values[0]) < 0 or (values[1:] < values[:-1]).any()):
+        if len(values) and (int(values[0]) < 0 or (values[1:] < values[:-1]).any()):  # unsigned ones reach 2**64 - 1
             raise ValueError("the sequence falls")
         values = values.astype(np.uint64)
         n, top = len(values), int(values[-1]) if len(values) else 0
@@ -80,7 +79,7 @@ class EliasFano:
         return int(self._ones(i, 1)[0])
 
     def slice(self, i: int, n: int) -> np.ndarray:
-        """The values i to i + n - 1."""
+        """The values i to i + n - 1, modulo 2**64."""
         out = (self._ones(i, n) - np.arange(i, i + n)) << self.low_bits
         if self.low_bits:
             begin, skip = i * self.low_bits >> 3, i * self.low_bits & 7
@@ -89,7 +88,7 @@ class EliasFano:
         return out
 
     def __getitem__(self, i: int) -> int:
-        return int(self.slice(i, 1)[0])
+        return int(self.slice(i, 1)[0]) & (1 << 64) - 1
 
     def first_at_least(self, value: int) -> int:
         """The least index whose value is at least `value`, or n."""
@@ -118,10 +117,13 @@ class Numbers:
     rest: EliasFano
 
     @classmethod
-    def of(cls, doc_ids: np.ndarray) -> Numbers:
-        known = doc_ids[np.flatnonzero(doc_ids != _NO_ID)]
+    def of(cls, doc_ids: np.ndarray, nulls: int) -> Numbers:
+        """The first `nulls` of doc_ids are null; the others may lie up to 2**64 - 1 apart."""
+        known = doc_ids[nulls:]
         least = int(known[0]) if len(known) else 0
-        return cls(len(doc_ids) - len(known), least, EliasFano.of(known - least))
+        if (known[1:] < known[:-1]).any():
+            raise ValueError("the sequence falls")
+        return cls(nulls, least, EliasFano.of(known.view(np.uint64) - np.uint64(least % 2**64)))
 
     def slice(self, i: int, n: int) -> pa.Array:
         nulls = min(max(self.nulls - i, 0), n)
@@ -140,9 +142,9 @@ class Numbers:
         return cls(nulls, least, EliasFano.from_bytes(raw[16:]))
 
 
-def file_bytes(doc_ids: np.ndarray, sizes: np.ndarray, ids: bytes, width: int) -> bytes:
+def file_bytes(doc_ids: np.ndarray, nulls: int, sizes: np.ndarray, ids: bytes, width: int) -> bytes:
     bounds = EliasFano.of(np.concatenate(([0], np.cumsum(sizes)))).to_bytes()
-    numbers = Numbers.of(doc_ids).to_bytes()
+    numbers = Numbers.of(doc_ids, nulls).to_bytes()
     head = np.array([(b"EFTK", width, len(sizes), int(sizes.sum()), len(bounds), len(numbers))], _HEAD)
     return b"".join((head.tobytes(), bounds, numbers, ids))
 
@@ -181,21 +183,23 @@ class _Writer(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         out, files = _Files(self.path), []
-        numbers, sizes, ids, held = [], [], [], 0
+        numbers, sizes, ids, held, nulls = [], [], [], 0, 0
 
         def close() -> None:
-            nonlocal held
+            nonlocal held, nulls
             doc_ids, counts = np.concatenate(numbers), np.concatenate(sizes)
             name = f"{uuid.uuid4().hex}.eftk"
-            out.write(name, file_bytes(doc_ids, counts, b"".join(ids), self.width))
-            files.append({"name": name, "docs": len(counts), "ids": int(counts.sum()), "first": int(doc_ids[0]), "last": int(doc_ids[-1]), "turn": len(files)})
+            out.write(name, file_bytes(doc_ids, nulls, counts, b"".join(ids), self.width))
+            known = doc_ids[nulls:].tolist() or [None]  # null doc_ids come first
+            files.append({"name": name, "docs": len(counts), "ids": int(counts.sum()), "nulls": nulls, "first": known[0], "last": known[-1], "turn": len(files)})
             numbers.clear(), sizes.clear(), ids.clear()
-            held = 0
+            held = nulls = 0
 
         for batch in iterator:
             rows = as_bytes(batch.column("ids"))
             if rows:
-                numbers.append(batch.column("doc_id").fill_null(_NO_ID).to_numpy(zero_copy_only=False))
+                nulls += batch.column("doc_id").null_count
+                numbers.append(batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False))
                 sizes.append(np.fromiter(map(len, rows), np.int64, len(rows)) // self.width)
                 ids.extend(rows)
                 held += int(sizes[-1].sum())
@@ -206,7 +210,7 @@ class _Writer(DataSourceArrowWriter):
         return _Written(files)
 
     def commit(self, messages: list[_Written | None]) -> None:
-        files = sorted((f for m in messages if m for f in m.files), key=lambda f: (f["first"], f["turn"]))
+        files = sorted((f for m in messages if m for f in m.files), key=lambda f: (not f["nulls"], f["first"] or 0, f["turn"]))
         start = 0
         for f in files:
             f["start"] = start
@@ -251,11 +255,11 @@ class _Reader(DataSourceReader):
                 yield f
                 continue
             if self.low is None and self.high is None:  # "is not null" alone
-                self.low = _NO_ID + 1
+                self.low = -(2**63)
 
     def partitions(self) -> list[_Part]:
         files = json.loads(_Files(self.path).read("manifest.json"))["files"]
-        fits = [f for f in files if (self.low is None or f["last"] >= self.low) and (self.high is None or f["first"] <= self.high)]
+        fits = [f for f in files if (self.low is None or f["last"] is not None and f["last"] >= self.low) and (self.high is None or f["first"] is not None and f["first"] <= self.high)]
         return [_Part(f["name"], f["start"]) for f in fits] or [_Part("", 0)]
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
