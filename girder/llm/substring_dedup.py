@@ -9,7 +9,8 @@ occurrences are formed: an occurrence only learns whether another one exists, so
 Probes and blocks are dealt to buckets of about BUCKET_BYTES of text by their hash. What a chunk of texts can settle by
 itself is not dealt: a probe with another block of its hash in the chunk is a hit, and of a full window that a chunk holds
 several times one is dealt, marked so. So however many texts hold a passage, a bucket gets few of its occurrences from
-each chunk. Beyond WIDE buckets a chunk's share of one would be too small, so texts are dealt to WIDE first, and each of
+each chunk. With many buckets, the hashes of several chunks are dealt together, so that a bucket gets enough of them in a row;
+chunks and what is held stay as small however large the table. Beyond WIDE buckets a chunk's share of one would be too small, so texts are dealt to WIDE first, and each of
 those is dealt further.
 
 Nulls and edge cases: a null text has no words; a null doc_id is kept as null; rows that repeat are occurrences of their
@@ -36,6 +37,7 @@ WINDOW, BLOCK = 35, 18
 BUCKET_BYTES = 16 << 20  # text bytes whose probes share a bucket
 WIDE = 1 << 16  # buckets that texts are dealt to at once
 CHUNK = 2 << 20  # text bytes that one numpy pass handles here
+PER_ROW = 32  # hashes of a bucket that share a row, on average and at least
 HELD = 32 << 20  # bytes of hashes of one bucket that are dealt further together
 
 _DEALT = pa.schema([("bucket", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("marks", pa.binary()), ("parts", pa.binary()), ("settled", pa.bool_())])
@@ -73,6 +75,28 @@ def _gathered(rows: pa.Table | pa.RecordBatch, kind: type) -> tuple[np.ndarray,
     return np.concatenate(ids), np.concatenate(hashes), np.concatenate(marks)
 
 
+class _Merge:
+    """Rows of several chunks are dealt together until there are enough for all buckets: at most WIDE * PER_ROW hashes and a chunk's."""
+
+    def __init__(self, wide: int, fine: int, settled: bool = False):
+        self.least, self.fine, self.settled, self.parts = wide * PER_ROW, fine, settled, []
+
+    def add(self, ids: np.ndarray, docs: np.ndarray, bucket: np.ndarray, hashes: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """docs are places in ids, in order."""
+        new = np.diff(docs, prepend=-1) != 0
+        self.parts.append((ids[docs[new]], np.cumsum(new) - 1, bucket, hashes, marks))
+        if sum(len(p[1]) for p in self.parts) >= self.least:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            before = np.cumsum([0, *(len(p[0]) for p in self.parts[:-1])])
+            ids, docs = np.concatenate([p[0] for p in self.parts]), np.concatenate([p[1] + b for p, b in zip(self.parts, before)])
+            bucket, hashes, marks = (np.concatenate(x) for x in list(zip(*self.parts))[2:])
+            self.parts.clear()
+            yield _dealt(ids, docs, bucket, hashes, marks, self.fine, self.settled)
+
+
 def _further(fine: int, kind: type) -> Callable:
     """Deals rows of WIDE buckets, sorted by bucket, to `fine` buckets each."""
 
@@ -134,11 +158,12 @@ def _settled(key: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hit, deal
 
 
-def _probes(wide: int, fine: int, limit: int) -> Callable:
+def _probes(wide: int, fine: int) -> Callable:
     buckets = wide * fine
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, limit=limit):
+        open_, done = _Merge(wide, fine), _Merge(wide, fine, True)
+        for batch in chunks(batches, limit=CHUNK):
             words = Words(as_bytes(batch.column("text")))
             at, g = words.grams(BLOCK)
             if not len(at):
@@ -147,9 +172,11 @@ def _probes(wide: int, fine: int, limit: int) -> Callable:
             bucket, key = _split(g, buckets)
             block = (at - words.first[docs]) % BLOCK == 0
             hit, deal = _settled(bucket.view(np.uint64) << np.uint64(32) | key, block)
-            yield _dealt(ids, docs[deal], bucket[deal], key[deal], block[deal], fine)
+            yield from open_.add(ids, docs[deal], bucket[deal], key[deal], block[deal])
             # hits go by their text, not by their key, which may be frequent
-            yield _dealt(ids, docs[hit], (ids[docs[hit]].view(np.uint64) % np.uint64(buckets)).astype(np.int64), key[hit], block[hit], fine, True)
+            yield from done.add(ids, docs[hit], (ids[docs[hit]].view(np.uint64) % np.uint64(buckets)).astype(np.int64), key[hit], block[hit])
+        yield from open_.rest()
+        yield from done.rest()
 
     return run
 
@@ -227,9 +254,10 @@ def _windows(words: Words, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray, n
     return at[use], h[use], other[use]
 
 
-def _count(wide: int, fine: int, limit: int) -> Callable:
+def _count(wide: int, fine: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, limit=limit):
+        open_ = _Merge(wide, fine)
+        for batch in chunks(batches, limit=CHUNK):
             words = Words(as_bytes(batch.column("text")))
             at, h, other = _windows(words, batch.column("runs").to_pylist())
             if not len(at):
@@ -237,7 +265,8 @@ def _count(wide: int, fine: int, limit: int) -> Callable:
             h, one, times = np.unique(h, return_index=True, return_counts=True)
             order = np.argsort(one)
             h, one, times = h[order], one[order], times[order]
-            yield _dealt(_ids(batch), words.doc[at[one]], (other[one] % np.uint64(wide * fine)).astype(np.int64), h, times > 1, fine)
+            yield from open_.add(_ids(batch), words.doc[at[one]], (other[one] % np.uint64(wide * fine)).astype(np.int64), h, times > 1)
+        yield from open_.rest()
 
     return run
 
@@ -286,15 +315,14 @@ def substring_dedup(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     buckets = max(64, -(-common.text_bytes(docs) // BUCKET_BYTES))
     fine = -(-buckets // WIDE)
     wide = min(buckets, WIDE)
-    limit = max(CHUNK, wide << 10)  # so that a bucket gets enough from each chunk
 
-    hits = _in_buckets(docs.mapInArrow(_probes(wide, fine, limit), _SHAPE), wide, fine, np.uint32, _hits)
+    hits = _in_buckets(docs.mapInArrow(_probes(wide, fine), _SHAPE), wide, fine, np.uint32, _hits)
     hits = hits.groupBy("rid").agg(F.collect_set("key").alias("hits"))
     both = docs.join(hits, "rid", "left").select("rid", "doc_id", "text", "hits")
     extended, _ = save(both.mapInArrow(_extend(wide * fine), "rid long, doc_id long, n_words long, text string, runs binary, kept_sha256 string"), "op1-extended")
 
     open_ = extended.where("runs is not null").select("rid", "doc_id", "text", "runs")
-    single = _in_buckets(open_.mapInArrow(_count(wide, fine, limit), _SHAPE), wide, fine, np.uint64, _single)
+    single = _in_buckets(open_.mapInArrow(_count(wide, fine), _SHAPE), wide, fine, np.uint64, _single)
     single = single.groupBy("rid").agg(F.collect_set("key").alias("single"))
     both = open_.join(single, "rid", "left").select("doc_id", "text", "runs", "single")
     removed = both.mapInArrow(_remove(keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
