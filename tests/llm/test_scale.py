@@ -56,6 +56,24 @@ def test_substring_dedup_of_a_passage_in_every_text(spark, monkeypatch, wide, bu
     assert got == sorted((i if i % 4 else -1, n) for i, n in enumerate(brute_removed(texts)))
 
 
+def test_memory_with_many_buckets():
+    """Dealt to 65,536 buckets, as a terabyte is, chunks stay small and several share a row."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    texts = [" ".join(np.char.add("w", r.integers(0, 10**6, 4000).astype(str))) for _ in range(600)]
+    batch = pa.RecordBatch.from_pydict({"rid": pa.array(range(600), pa.int64()), "text": texts})
+    tracemalloc.start()
+    rows = hashes = 0
+    for made in substring_dedup._probes(1 << 16, 100)(iter([batch])):
+        rows, hashes = rows + made.num_rows, hashes + sum(len(x.as_py()) for x in made.column("hashes")) // 4
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert hashes > 2_000_000 and hashes > 16 * rows and peak < 500 << 20
+
+
 def test_a_frequent_passage_is_dealt_seldom():
     """What a chunk sends for a window that all of its texts hold does not grow with them."""
     hot = " ".join(f"hot{i}" for i in range(60)).encode()
