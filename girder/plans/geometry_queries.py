@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from girder import fixtures as fx
 from girder.operators import geometry, hierarchy
-from girder.sources import columnar, federation
-from girder.tables import load
+from girder.operators.ranking import dense_rank_all
+from girder.sources import columnar, federation, stream_store
+from girder.tables import load, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -82,3 +83,41 @@ def federated_inputs(spark, d):  # S18
     k = F.col("s_suppkey")
     text = F.when(k % 5 == 0, F.concat(F.lit("nothing"), k)).when(k % 5 == 1, F.concat(F.lit("same="), k)).otherwise(F.concat(F.lit("d"), k, F.lit("=path"), k))
     return federation.parsed_inputs(load(spark, d, "supplier").select(F.col("s_name").alias("name"), text.alias("input"))).select(F.col("name").alias("input"), "problem")
+
+
+# ---- meshes in a store of streams ------------------------------------------------------------------------------------
+
+_VERTICES = 64  # of a mesh
+_MESHES = f"""WITH {fx.OCCURRENCES_SQL}, v AS (SELECT place // {_VERTICES} AS mesh_id, place % {_VERTICES} AS k, min_x, min_y, min_z FROM (SELECT *, row_number() OVER (ORDER BY occurrence_id) - 1 AS place FROM occ)),
+m AS (SELECT 'd' || lpad((mesh_id % 25)::VARCHAR, 2, '0') AS document_id, mesh_id, count(*) AS vertices, sum(min_x + min_y + min_z)::DOUBLE AS total FROM v GROUP BY ALL)"""
+
+
+def _meshes(spark: SparkSession, d: str) -> DataFrame:
+    """document_id, mesh_id, positions, indices (a strip of triangles) and, of even meshes, normals."""
+    placed = dense_rank_all(fx.occurrences(spark, d).select("occurrence_id", "min_x", "min_y", "min_z"), ["occurrence_id"], "place")
+    own = placed.groupBy(F.expr(f"place DIV {_VERTICES}").alias("mesh_id")).agg(F.array_sort(F.collect_list(F.struct("place", "min_x", "min_y", "min_z"))).alias("v"))  # _VERTICES a mesh
+    doubles = F.flatten(F.transform("v", lambda p: F.array(*[p[f"min_{a}"].cast("double") for a in "xyz"])))
+    strip = F.when(F.size("v") > 2, F.flatten(F.transform(F.sequence(F.lit(0), F.size("v") - 3), lambda i: F.array(i, i + 1, i + 2)))).otherwise(F.expr("array()").cast("array<int>"))
+    even = F.when(F.col("mesh_id") % 2 == 0, F.flatten(F.transform("v", lambda p: F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)))).cast("array<float>"))
+    return own.select(F.concat(F.lit("d"), F.lpad((F.col("mesh_id") % 25).cast("string"), 2, "0")).alias("document_id"), "mesh_id", doubles.alias("positions"), strip.cast("array<int>").alias("indices"), even.alias("normals"))
+
+
+def _stored(spark: SparkSession, d: str) -> str:
+    at = shared_path(spark, "meshes")
+    stream_store.write(_meshes(spark, d).repartitionByRange("document_id", "mesh_id").sortWithinPartitions("document_id", "mesh_id"), at)
+    return at
+
+
+@query(f"""{_MESHES} SELECT document_id, mesh_id, vertices, total, greatest(vertices - 2, 0) AS triangles, CASE WHEN mesh_id % 2 = 0 THEN vertices END AS normals FROM m""")
+def mesh_store(spark, d):  # S07, S11, K03, K04: written and read back whole
+    back = stream_store.read(spark, _stored(spark, d), "document_id string, mesh_id long, positions array<double>, indices array<int>, normals array<float>")
+    third = lambda c: F.floor(F.size(c) / 3)
+    total = F.aggregate("positions", F.lit(0.0), lambda a, v: a + v)
+    return back.select("document_id", "mesh_id", third("positions").alias("vertices"), total.alias("total"), third("indices").alias("triangles"), F.when(F.col("normals").isNotNull(), third("normals")).alias("normals"))
+
+
+@query(f"""{_MESHES} SELECT mesh_id, greatest(vertices - 2, 0) AS triangles, CASE WHEN vertices > 2 THEN (3 * (vertices - 2) * (vertices - 1) // 2)::BIGINT ELSE 0 END AS index_sum FROM m WHERE document_id IN ('d03', 'd17') AND mesh_id >= 10""")
+def mesh_subset(spark, d):  # S07: two documents' indices, and no other stream
+    back = stream_store.read(spark, _stored(spark, d), "document_id string, mesh_id long, indices array<int>")
+    found = back.where(F.col("document_id").isin("d03", "d17") & (F.col("mesh_id") >= 10))
+    return found.select("mesh_id", F.floor(F.size("indices") / 3).alias("triangles"), F.aggregate("indices", F.lit(0).cast("long"), lambda a, v: a + v).alias("index_sum"))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from girder import fixtures as fx
 from girder.functions import scalars
 from girder.operators import chunks, digests, geometry, hierarchy, model, rules, spatial, validation
-from girder.sources import columnar, documents, federation, part21, scene_json
+from girder.operators.ranking import dense_rank_all
+from girder.sources import columnar, documents, federation, part21, scene_json, stream_store
 from girder.tables import load, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,11 +82,16 @@ def scene_document(spark, d):  # S06: one JSON document with the table as a top-
 
 
 @query("""SELECT p_brand AS doc, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS value_id, p_name AS value FROM part""")
-def property_columns(spark, d):  # S12: a heap and its offsets for each brand
-    one = load(spark, d, "part").groupBy(F.col("p_brand").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))).alias("r"))
-    heap = one.select("doc", F.encode(F.array_join(F.col("r.p_name"), ""), "UTF-8").alias("heap"))
-    sums = F.aggregate("r", F.array(F.lit(0)), lambda a, x: F.array_append(a, F.element_at(a, -1) + F.octet_length(x["p_name"])))
-    return columnar.sliced(heap, one.select("doc", sums.alias("offsets"))).select("doc", F.col("value_id").cast("long").alias("value_id"), "value")
+def property_columns(spark, d):  # S12: heaps of a few thousand values with their offsets, read from a store of streams
+    part = load(spark, d, "part").select(F.col("p_brand").alias("doc"), "p_partkey", "p_name")
+    placed = dense_rank_all(part, ["doc", "p_partkey", "p_name"], "place")
+    first = placed.groupBy("doc").agg(F.min("place").alias("first"))
+    at = shared_path(spark, "properties")
+    stream_store.write(columnar.heaps(placed.join(first, "doc").select("doc", (F.col("place") - F.col("first")).alias("value_id"), F.col("p_name").alias("value"))), at)
+    back = stream_store.read(spark, at, "doc string, block long, heap binary, offsets array<int>")
+    heap = back.select(F.struct("doc", "block").alias("doc"), "heap", "offsets")
+    each = columnar.sliced(heap.select("doc", "heap"), heap.select("doc", "offsets"))
+    return each.select("doc.doc", (F.col("doc.block") * columnar.BLOCK + F.col("value_id")).alias("value_id"), "value")
 
 
 @query("""SELECT c_nationkey AS folder, sha256(string_agg(c_name || chr(10) || sha256(c_mktsegment) || chr(10), '' ORDER BY c_name)) AS digest FROM customer GROUP BY 1""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,18 @@ def packed(rows: DataFrame, by: str, position: str, columns: list[str]) -> DataF
     return one.select(by, *[F.col("r").getField(c).alias(c) for c in columns])
 
 
+BLOCK = 4096  # values of a heap
+
+
+def heaps(values: DataFrame) -> DataFrame:
+    """doc, block, heap (the values' UTF-8) and offsets (n + 1 of them) from values(doc, value_id, value): BLOCK values a row, however many
+    a document has (S12). Offsets are running sums within a block."""
+    own = Window.partitionBy("doc", "block").orderBy("value_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    block = values.withColumn("block", F.expr(f"value_id DIV {BLOCK}")).withColumn("upto", F.sum(F.octet_length("value")).over(own).cast("int"))
+    rows = block.groupBy("doc", "block").agg(F.array_sort(F.collect_list(F.struct("value_id", "value", "upto"))).alias("v"))
+    return rows.select("doc", "block", F.encode(F.array_join("v.value", ""), "UTF-8").alias("heap"), F.concat(F.array(F.lit(0)), F.col("v.upto")).alias("offsets"))
+
+
 def sliced(heap: DataFrame, offsets: DataFrame) -> DataFrame:
     """value_id, value: slices of a heap by an offsets table of n + 1 numbers (S12). heap(doc, heap binary),
     offsets(doc, offsets array); a table that falls or leaves the heap gives no rows, see `odd_offsets`."""
