@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from girder.operators.ranking import dense_rank_all
+from girder.tables import cut
 
 # fixed values: the codes; the messages are our own
 MESSAGES = {
@@ -51,6 +53,22 @@ def duplicate_ids(ids: DataFrame, column: str) -> DataFrame:
     return ids.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*issue("DUPLICATE_ID", F.col(column)))
 
 
+def repeated_declarations(relations: list[tuple[str, DataFrame, str, list[str]]]) -> DataFrame:
+    """Each declaration of an id that an earlier one has, over relations(name, rows, id column, order) in the given order: the first
+    wins, the others name both places, as `name[place].id` with places from 0 in the relation's order. Null ids declare nothing."""
+    numbered = []
+    for turn, (name, rows, column, order) in enumerate(relations):
+        by = [f"o{i}" for i in range(len(order))]
+        placed = dense_rank_all(rows.select(F.col(column).alias("id"), *[F.col(c).alias(b) for c, b in zip(order, by)]), by, "place")
+        numbered.append(placed.select(F.lit(turn).alias("turn"), "place", "id", F.concat(F.lit(f"{name}["), F.col("place").cast("string"), F.lit("].id")).alias("path")))
+    told = cut(reduce(DataFrame.union, numbered).where("id IS NOT NULL"), "declarations")
+    # a row for each id that is declared again, however often
+    first = told.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("turn", "place", "path")).alias("f")).where("n > 1").select(F.col("id").alias("known"), F.col("f.path").alias("first"))
+    again = told.join(first, F.col("id") == F.col("known")).where("path <> first")
+    severity, code, path, _ = issue("DUPLICATE_ID", F.col("path"))
+    return again.select(severity, code, path, F.concat(F.lit("the id "), "id", F.lit(" is declared already at "), "first").alias("message"))
+
+
 def empty_ids(rows: DataFrame, column: str, path: Column) -> DataFrame:
     return rows.where(F.coalesce(F.trim(F.col(column)), F.lit("")) == "").select(*issue("EMPTY_ID", path))
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.functions import scalars
-from girder.operators import model, ranking
-from girder.sources import part21, scene_json, workload
+from girder.operators import model, ranking, validation
+from girder.sources import json_bytes, part21, scene_json, workload
 from girder.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,31 @@ def observation_windows(spark, d):  # ST09: a window for each customer
 def ranked_types(spark, d):  # T01, T05
     counts = load(spark, d, "part").groupBy("p_type").agg((-F.count(F.lit(1))).alias("less"))
     return ranking.dense_rank_all(counts, ["less", "p_type"], "place").select("p_type", "place")
+
+
+_TEXT = """'{"id": ' || event_id || ', "tags": ["' || event_type || '", null], "props": ' || props || '}'"""
+
+
+@query(f"""WITH t AS (SELECT event_type, event_id, props FROM events), n AS (SELECT event_type, count(*) AS n, sum(strlen(event_id::VARCHAR)) AS ids, sum(strlen(event_type) + 6) AS tags, sum(strlen(props) - 7) AS ks FROM t GROUP BY 1)
+SELECT event_type, p.path, p.kind, p.bytes::BIGINT AS bytes, (p.each * n)::BIGINT AS tokens FROM n, LATERAL (SELECT unnest([
+  {{'path': '$', 'kind': 'punctuation', 'bytes': 7 * n, 'each': 7}}, {{'path': '$', 'kind': 'space', 'bytes': 5 * n, 'each': 5}}, {{'path': '$.id', 'kind': 'key', 'bytes': 4 * n, 'each': 1}},
+  {{'path': '$.id', 'kind': 'value', 'bytes': ids, 'each': 1}}, {{'path': '$.tags', 'kind': 'key', 'bytes': 6 * n, 'each': 1}}, {{'path': '$.tags', 'kind': 'punctuation', 'bytes': 3 * n, 'each': 3}},
+  {{'path': '$.tags', 'kind': 'space', 'bytes': n, 'each': 1}}, {{'path': '$.tags[]', 'kind': 'value', 'bytes': tags, 'each': 2}}, {{'path': '$.props', 'kind': 'key', 'bytes': 7 * n, 'each': 1}},
+  {{'path': '$.props', 'kind': 'punctuation', 'bytes': 3 * n, 'each': 3}}, {{'path': '$.props', 'kind': 'space', 'bytes': n, 'each': 1}}, {{'path': '$.props.k', 'kind': 'key', 'bytes': 3 * n, 'each': 1}},
+  {{'path': '$.props.k', 'kind': 'value', 'bytes': ks, 'each': 1}}]) AS p)""")
+def json_byte_census(spark, d):  # A23: every byte of each event as a document
+    return json_bytes.census(load(spark, d, "events").select("event_type", F.expr(_TEXT).alias("text")), "text", "event_type")
+
+
+@query("""WITH d AS (
+  SELECT 0 AS turn, row_number() OVER (ORDER BY n_nationkey) - 1 AS place, 'e' || n_nationkey AS id, 'nations' AS name FROM nation
+  UNION ALL SELECT 1, row_number() OVER (ORDER BY s_suppkey) - 1, 'e' || s_suppkey % 40, 'suppliers' FROM supplier UNION ALL SELECT 2, row_number() OVER (ORDER BY p_partkey) - 1, 'e' || p_partkey, 'parts' FROM part),
+p AS (SELECT *, name || '[' || place || '].id' AS path, first_value(name || '[' || place || '].id') OVER (PARTITION BY id ORDER BY turn, place) AS first FROM d)
+SELECT 'error' AS severity, 'DUPLICATE_ID' AS code, path, 'the id ' || id || ' is declared already at ' || first AS message FROM p WHERE path <> first""")
+def declarations(spark, d):  # ids over all relations
+    name = lambda c: F.concat(F.lit("e"), c.cast("string"))
+    return validation.repeated_declarations([
+        ("nations", load(spark, d, "nation").select("n_nationkey", name(F.col("n_nationkey")).alias("id")), "id", ["n_nationkey"]),
+        ("suppliers", load(spark, d, "supplier").select("s_suppkey", name(F.col("s_suppkey") % 40).alias("id")), "id", ["s_suppkey"]),
+        ("parts", load(spark, d, "part").select("p_partkey", name(F.col("p_partkey")).alias("id")), "id", ["p_partkey"]),
+    ])
