@@ -15,9 +15,11 @@ BUDGET = 512 * 1024
 
 def offsets(df: DataFrame, by: str, order: str, size: str, align: int = 4) -> DataFrame:
     """byte_offset of each row in its group, sizes padded to `align`."""
-    padded = F.ceil(F.col(size) / align) * align
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("byte_offset", F.coalesce(F.sum(padded).over(w), F.lit(0)).cast("long"))
+    padded = df.withColumn("_padded", (F.ceil(F.col(size) / align) * align).cast("long"))
+    # sums over all groups in order, less the sum before the group, so that a group is no task's
+    summed = dense_rank_all(padded, [by, order], "_before", value="_padded")
+    first = summed.groupBy(F.col(by).alias("_by")).agg(F.min("_before").alias("_first"))
+    return summed.join(first, F.col(by).eqNullSafe(F.col("_by"))).select(*df.columns, (F.col("_before") - F.col("_first")).alias("byte_offset"))
 
 
 def coalesce_ranges(ranges: DataFrame, by: str, budget: int = BUDGET) -> DataFrame:

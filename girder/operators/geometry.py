@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from girder.operators.digests import streamed
 from girder.operators.hierarchy import multiply, transformed_bounds
 from girder.operators.ranking import bounds_union
 
@@ -96,8 +97,7 @@ def representation_digest(streams: DataFrame) -> DataFrame:
     """representation_id, digest: the labelled streams of a representation in label order, each with its type; an absent one
     is told from an empty one (A32). streams(representation_id, label, kind, content)."""
     part = F.concat_ws("\x1f", F.col("label"), F.col("kind"), F.coalesce(F.sha2(F.col("content").cast("binary"), 256), F.lit("absent")))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("label", part.alias("part")))), lambda r: r["part"]), "\x1e")
-    return streams.groupBy("representation_id").agg(F.sha2(lines, 256).alias("digest"))
+    return streamed(streams.select("representation_id", "label", part.alias("piece")), ["representation_id"], ["label", "piece"], "\x1e")
 
 
 def display(value: Column, levels: int = 4) -> Column:

@@ -570,3 +570,29 @@ def broken_tables(spark, d):  # section 2.12: rules that look at several columns
     from functools import reduce
 
     return reduce(DataFrame.unionByName, found).groupBy("code").agg(F.count(F.lit(1)).alias("errors"), F.sum(F.col("path").cast("long")).alias("keys"))
+
+
+_TWO_TREES = f"""WITH {fx.TREE_SQL}, b AS (
+  SELECT node_id, CASE WHEN node_id LIKE 'c:%' AND substr(node_id, 3)::BIGINT % 50 = 7 THEN 'n:00' ELSE parent_id END AS parent_id, CASE WHEN node_id LIKE 'c:%' AND substr(node_id, 3)::BIGINT % 60 = 9 THEN name || '!' ELSE name END AS name, renderable
+  FROM tree WHERE NOT (node_id LIKE 'c:%' AND substr(node_id, 3)::BIGINT % 70 = 11) AND node_id <> 'n:03' AND parent_id IS DISTINCT FROM 'n:03'
+  UNION ALL SELECT node_id, parent_id, name, renderable FROM tree WHERE node_id LIKE 'c:%' AND substr(node_id, 3)::BIGINT % 80 = 13 AND parent_id <> 'n:03' AND substr(node_id, 3)::BIGINT % 70 <> 11)"""
+
+
+@query(f"""{_TWO_TREES}, p AS (SELECT parent_id, node_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS v FROM tree GROUP BY 1, 2), q AS (SELECT parent_id, node_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS v FROM b GROUP BY 1, 2),
+j AS (SELECT coalesce(p.node_id, q.node_id) AS node_id, CASE WHEN p.node_id IS NULL THEN q.parent_id ELSE p.parent_id END AS parent_id, p.n AS pn, q.n AS qn, p.v AS pv, q.v AS qv FROM p FULL JOIN q ON p.node_id = q.node_id AND p.parent_id IS NOT DISTINCT FROM q.parent_id),
+k AS (SELECT CASE WHEN qn IS NULL THEN 'lost' WHEN pn IS NULL THEN 'added' WHEN pn <> qn THEN 'copies' WHEN pv <> qv THEN 'changed' END AS kind, node_id, parent_id, coalesce(pn, qn) || coalesce(pv, qv) AS v FROM j),
+m AS (SELECT node_id, v, max(parent_id) FILTER (kind = 'added') AS dest FROM k WHERE kind IN ('lost', 'added') AND parent_id IS DISTINCT FROM 'n:03' GROUP BY 1, 2 HAVING count(*) FILTER (kind = 'lost') = 1 AND count(*) FILTER (kind = 'added') = 1)
+SELECT kind, node_id, parent_id FROM k WHERE kind IS NOT NULL AND parent_id IS DISTINCT FROM 'n:03' AND NOT (kind IN ('lost', 'added') AND EXISTS (SELECT 1 FROM m WHERE m.node_id = k.node_id AND m.v = k.v))
+UNION ALL SELECT 'moved', node_id, dest FROM m""")
+def package_differences(spark, d):  # J27
+    from girder.operators import roundtrip
+
+    a = fx.tree(spark, d)
+    n = F.when(F.col("node_id").startswith("c:"), F.expr("try_cast(substring(node_id, 3) AS long)"))
+    outside = F.coalesce(F.col("parent_id") != "n:03", F.lit(True))
+    number = lambda every, rest: F.coalesce(n % every == rest, F.lit(False))
+    kept = a.where(~number(70, 11) & (F.col("node_id") != "n:03") & outside)
+    b = kept.withColumns({"parent_id": F.when(number(50, 7), "n:00").otherwise(F.col("parent_id")), "name": F.when(number(60, 9), F.concat("name", F.lit("!"))).otherwise(F.col("name"))})
+    b = b.unionByName(kept.where(number(80, 13)))
+    found, _ = roundtrip.compare(*(roundtrip.digests(x, ["name"]) for x in (a, b)))
+    return found
