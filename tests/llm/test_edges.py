@@ -322,6 +322,18 @@ def test_decontamination(spark, docs, none):
     assert decontam.decontaminate(none, items).count() == 0 and decontam.decontaminate(docs, items.where("1 = 0")).count() == 0
 
 
+def test_token_files_of_far_doc_ids(spark):
+    """The least and the greatest doc_id in one file, the least apart from null."""
+    ends = [None, -(2**63), -5, 0, 2**63 - 1]
+    docs_ = spark.createDataFrame([(i, f"text {i}") for i in ends], "doc_id long, text string").coalesce(1)
+    rows_ = {r.doc_id: r.start for r in token_store.token_round_trip(docs_, WORDS).collect()}
+    assert sorted(rows_.values()) == [rows_[i] for i in ends]
+    numbers = token_store.Numbers.of(np.array([0, 0, *ends[1:]], np.int64), 2)
+    back = token_store.Numbers.from_bytes(numbers.to_bytes())
+    assert back.slice(0, 6).to_pylist() == [None, None, *ends[1:]] and back.slice(3, 2).to_pylist() == ends[2:4]
+    assert [back.first_at_least(i) for i in (-(2**63), -(2**63) + 1, 1, 2**63 - 1)] == [2, 3, 5, 5]
+
+
 def test_paraphrase_needs_the_answer():
     item = decontam.items_of([(1, ITEM)])[0]
     hashed = lambda s: decontam.words_of([s.encode()]).hash.tolist()
