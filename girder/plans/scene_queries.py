@@ -406,6 +406,15 @@ def box_cull(spark, d):  # P14, P15: for an affine view both tests agree
     return o.select("occurrence_id", (spatial.in_frustum(_VIEW) & spatial.projected_visible(_VIEW)).alias("seen"))
 
 
+@query(f"""{LEAVES_SQL}, box AS (SELECT leaf, min(min_x) AS min_x, max(max_x) AS max_x, min(min_y) AS min_y, max(max_y) AS max_y, min(min_z) AS min_z, max(max_z) AS max_z FROM leaf GROUP BY 1),
+seen AS (SELECT leaf, pow(greatest(min_x - 2000, 2000 - max_x, 0), 2) + pow(greatest(min_y - 1000000, 1000000 - max_y, 0), 2) + pow(greatest(min_z - 5, 5 - max_z, 0), 2) AS dist FROM box WHERE {_SEEN})
+SELECT chunk, round(min(dist), 3) AS distance, count(DISTINCT leaf) AS leaves FROM seen JOIN (SELECT DISTINCT leaf, substr(prototype_id, 8, 3) AS chunk FROM leaf) USING (leaf) GROUP BY 1""")
+def leaf_demand(spark, d):  # G09, A15, J15, J24, T06
+    boxes = fx.occurrences(spark, d).select(F.col("occurrence_id").alias("id"), F.substring("prototype_id", 8, 3).alias("chunk"), *[f"{s}_{a}" for a in "xyz" for s in ("min", "max")])
+    placed = spatial.leaves(boxes)
+    return spatial.demand(ranking.bounds_union(placed, ["leaf"]), placed.select("leaf", "chunk").distinct(), _VIEW, (2000.0, 1000000.0, 5.0)).select("chunk", F.round("distance", 3).alias("distance"), "leaves")
+
+
 @query(f"""{LEAVES_SQL} SELECT prototype_id, leaf, uses FROM (SELECT *, row_number() OVER (PARTITION BY prototype_id ORDER BY uses DESC, leaf) AS r FROM (SELECT prototype_id, leaf, count(*) AS uses FROM leaf GROUP BY 1, 2)) WHERE r = 1""".replace("AS r FROM t) WHERE r = 1)", "AS q FROM t) WHERE q = 1)"))
 def dominant_leaf(spark, d):  # A16, G10
     o = fx.occurrences(spark, d).withColumnRenamed("occurrence_id", "id").drop("order_id")
