@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from girder.operators.ranking import within
 from girder.tables import cut, drop
 
 SEVERITY = {"verified": 0, "unverifiable": 1, "changed": 2, "missing": 3}
@@ -77,8 +78,8 @@ def matched_sources(documents: DataFrame, sources: DataFrame) -> DataFrame:
     """document, source: by discipline and digest, else by a digest that exactly one unclaimed source has (J06). Of several
     documents and sources with one discipline and digest, the first in id order go together, then the second, and so on; where
     several documents want the one unclaimed source of a digest, the first in id order gets it."""
-    turn = lambda c: F.row_number().over(Window.partitionBy("discipline", "digest").orderBy(c))
-    exact = documents.withColumn("turn", turn("document")).join(sources.withColumn("turn", turn("source")), ["discipline", "digest", "turn"]).select("document", "source")
+    pair = ["discipline", "digest"]
+    exact = cut(within(documents, pair, ["document"], "turn").join(within(sources, pair, ["source"], "turn"), [*pair, "turn"]).select("document", "source"), "exact-matches")
     left = documents.join(exact, "document", "left_anti")
     free = sources.join(exact, "source", "left_anti").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("source")).where("n = 1").drop("n")
     rest = left.join(free, "digest").groupBy("source").agg(F.min("document").alias("document")).select("document", "source")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girder.operators.ranking import dense_rank_all
+from girder.operators.ranking import dense_rank_all, within
 
 BUDGET = 512 * 1024
 
@@ -16,10 +16,7 @@ BUDGET = 512 * 1024
 def offsets(df: DataFrame, by: str, order: str, size: str, align: int = 4) -> DataFrame:
     """byte_offset of each row in its group, sizes padded to `align`."""
     padded = df.withColumn("_padded", (F.ceil(F.col(size) / align) * align).cast("long"))
-    # sums over all groups in order, less the sum before the group, so that a group is no task's
-    summed = dense_rank_all(padded, [by, order], "_before", value="_padded")
-    first = summed.groupBy(F.col(by).alias("_by")).agg(F.min("_before").alias("_first"))
-    return summed.join(first, F.col(by).eqNullSafe(F.col("_by"))).select(*df.columns, (F.col("_before") - F.col("_first")).alias("byte_offset"))
+    return within(padded, [by], [order], "byte_offset", value="_padded").drop("_padded")
 
 
 def coalesce_ranges(ranges: DataFrame, by: str, budget: int = BUDGET) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from girder.operators.ranking import dense_rank_all
+from girder.operators.ranking import dense_rank_all, within
 
 # ---- prototypes and representations --------------------------------------------------------------------------
 
@@ -108,7 +108,7 @@ def captured(objects: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFra
 def labelled_files(sources: DataFrame, files: DataFrame) -> DataFrame:
     """key, digest and reason (J23): the selected file of a source's label. A label that two sources have, that no file has or that
     several files have is refused with a reason. sources(key, label), files(label, digest)."""
-    named = sources.withColumn("sources", F.count(F.lit(1)).over(Window.partitionBy("label")))
+    named = sources.join(sources.groupBy(F.col("label").alias("l")).agg(F.count(F.lit(1)).alias("sources")), F.col("label").eqNullSafe(F.col("l"))).drop("l")
     found = files.groupBy("label").agg(F.count(F.lit(1)).alias("files"), F.min("digest").alias("digest"))
     reason = F.when(F.col("sources") > 1, "label-not-unique").when(F.col("files").isNull(), "no-file").when(F.col("files") > 1, "several-files")
     both = named.join(found, "label", "left").withColumn("reason", reason)
@@ -118,10 +118,12 @@ def labelled_files(sources: DataFrame, files: DataFrame) -> DataFrame:
 def assigned_keys(sources: DataFrame) -> DataFrame:
     """position and key (W15): the preferred key; where several sources prefer it, with the label behind; where that is taken by an
     earlier one, with the position too. sources(position from 0, preferred, label)."""
-    several = F.count(F.lit(1)).over(Window.partitionBy("preferred")) > 1
-    wanted = sources.withColumn("own", F.when(several, F.concat_ws(":", "preferred", "label")).otherwise(F.col("preferred")))
-    again = F.row_number().over(Window.partitionBy("own").orderBy("position")) > 1
-    return wanted.select("position", F.when(again, F.concat_ws("#", "own", F.col("position").cast("string"))).otherwise(F.col("own")).alias("key"))
+    # counts and first positions are sums by key, so that no key's sources are gathered
+    counts = sources.groupBy(F.col("preferred").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    wanted = sources.join(counts, F.col("preferred").eqNullSafe(F.col("p"))).withColumn("own", F.when(F.col("n") > 1, F.concat_ws(":", "preferred", "label")).otherwise(F.col("preferred")))
+    firsts = wanted.groupBy(F.col("own").alias("o")).agg(F.min("position").alias("first"))
+    again = F.col("position") > F.col("first")
+    return wanted.join(firsts, F.col("own").eqNullSafe(F.col("o"))).select("position", F.when(again, F.concat_ws("#", "own", F.col("position").cast("string"))).otherwise(F.col("own")).alias("key"))
 
 
 # ---- demand, reports, timing ---------------------------------------------------------------------------------
@@ -155,6 +157,14 @@ def scene_counts(occurrences: DataFrame, diagnostics: DataFrame) -> DataFrame:
     return counts.crossJoin(told)  # a row each
 
 
+def reuse_lists(occurrences: DataFrame) -> DataFrame:
+    """prototype_id, occurrences, place and occurrence_id of prototypes that occur again (A33): a row for each place in a list, as a
+    list may be as long as the table."""
+    counts = occurrences.groupBy(F.col("prototype_id").alias("p")).agg(F.count(F.lit(1)).alias("occurrences")).where("occurrences > 1")
+    again = occurrences.select("prototype_id", "occurrence_id").join(counts, F.col("prototype_id") == F.col("p")).drop("p")
+    return within(again, ["prototype_id"], ["occurrence_id"], "place").select("prototype_id", "occurrences", "place", "occurrence_id")
+
+
 def frame_durations(ticks: DataFrame, period_ns: float) -> DataFrame:
     """frame, ms (W13): end - begin in ticks of period_ns; reversed and incomplete pairs are skipped. ticks(frame, begin, end)."""
     return ticks.where("end >= begin").select("frame", ((F.col("end") - F.col("begin")) * (period_ns / 1_000_000)).alias("ms"))

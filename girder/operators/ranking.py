@@ -102,6 +102,15 @@ def dense_rank_all(df: DataFrame, order: list[str], name: str, value: str | None
     return part.withColumn("inside", F.sum(own).over(inside) - own).join(F.broadcast(before), "part").withColumn(name, F.col("before") + F.col("inside")).drop("part", "before", "inside")
 
 
+def within(df: DataFrame, by: list[str], order: list[str], name: str, value: str | None = None) -> DataFrame:
+    """Number the rows of each group from 0 in a total order, or with `value`, of which none is below 0, give the sum before in the group: numbers over
+    all groups in turn, less the group's first, so that no group is one task's. Null keys are equal."""
+    placed = dense_rank_all(df, [*by, *[o for o in order if o not in by]], "_all", value)
+    first = placed.groupBy(*[F.col(b).alias(f"_{b}") for b in by]).agg(F.min("_all").alias("_first"))
+    same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by])
+    return placed.join(first, same).select(*df.columns, (F.col("_all") - F.col("_first")).alias(name))
+
+
 def corpus_evidence(rows: DataFrame, by: list[str], payload: str, identity: str, generator: str, licence: str) -> DataFrame:
     """by, records, payloads, identities, generators, licences and problem (S20): a corpus has a payload in every record, an identity
     that no other record has, and one generator and one licence."""

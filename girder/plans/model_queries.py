@@ -351,6 +351,12 @@ def scene_counts(spark, d):  # A33
     return model.scene_counts(load(spark, d, "lineitem").select(F.col("l_partkey").alias("prototype_id"), F.col("l_linenumber").cast("long").alias("depth")), load(spark, d, "events").select(kind.alias("severity")))
 
 
+@query(f"""WITH {fx.OCCURRENCES_SQL} SELECT prototype_id, occurrences, place, occurrence_id FROM (
+  SELECT prototype_id, occurrence_id, count(*) OVER (PARTITION BY prototype_id) AS occurrences, row_number() OVER (PARTITION BY prototype_id ORDER BY occurrence_id) - 1 AS place FROM occ) WHERE occurrences > 1""")
+def reuse_lists(spark, d):  # A33
+    return model.reuse_lists(fx.occurrences(spark, d))
+
+
 @query("""SELECT p_brand AS document_id, CASE WHEN count(*) FILTER (p_size > 45) > 0 THEN 'prototypeId' END AS semantic_rule,
   CASE WHEN greatest(count(*) FILTER (p_size < 10), count(*) FILTER (p_size BETWEEN 20 AND 29)) = 0 THEN NULL WHEN count(*) FILTER (p_size BETWEEN 20 AND 29) > count(*) FILTER (p_size < 10) THEN 'occurrenceId' ELSE 'semanticId' END AS source_rule FROM part GROUP BY 1""")
 def derivation_rules(spark, d):  # A17
