@@ -13,7 +13,7 @@ first global offset; a writer's task makes files under names of its own, and onl
 manifest, so repeated tasks do no harm.
 
 Nulls and edge cases: a null text counts as empty, and every document ends with END_ID; rows are ordered by doc_id, then
-text, nulls first; rows that repeat are stored each; a text of any length is encoded whole, and a document is never split
+text, nulls first and apart from the least doc_id; doc_ids may lie any distance apart; rows that repeat are stored each; a text of any length is encoded whole, and a document is never split
 between files; an empty table makes a manifest without files; columns other than doc_id and text are ignored.
 """
 
