@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from girder.operators.ranking import dense_rank_all, within
+from girder.operators.segments import coalesce_ranges
 
 BUDGET = 512 * 1024
 
@@ -19,29 +17,6 @@ def offsets(df: DataFrame, by: str, order: str, size: str, align: int = 4) -> Da
     return within(padded, [by], [order], "byte_offset", value="_padded").drop("_padded")
 
 
-def coalesce_ranges(ranges: DataFrame, by: str, budget: int = BUDGET) -> DataFrame:
-    """Adds `group`: neighbours in offset order share one while there is no gap and their bytes fit the budget; a larger
-    member stands alone (W05). The fold is sequential within a document: rows stream through a task in order, and only the
-    current group's sums are held."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owner, group, total, end = None, 0, 0, None
-        for pdf in batches:
-            out = []
-            for o, at, size in zip(pdf[by], pdf["byte_offset"], pdf["byte_length"]):
-                if o != owner:
-                    owner, group, total = o, 0, 0
-                elif at != end or total + size > budget:
-                    group, total = group + 1, 0
-                total, end = total + size, at + size
-                out.append(group)
-            yield pdf.assign(group=out)
-
-    kept = ranges.select(*ranges.columns)
-    schema = ", ".join(f"{n} {t}" for n, t in kept.dtypes) + ", `group` long"
-    return kept.repartition(by).sortWithinPartitions(by, "byte_offset").mapInPandas(fold, schema)
-
-
 def target_chunks(ranges: DataFrame, counts: DataFrame, by: str = "document_id", budget: int = BUDGET) -> DataFrame:
     """Chunks with their priority: more occurrences first, then more bytes, then the first prototype's id."""
     grouped = coalesce_ranges(ranges, by, budget).join(counts, "prototype_id")
