@@ -74,13 +74,20 @@ def worst(statuses: DataFrame, by: list[str]) -> DataFrame:
     return statuses.groupBy(*by).agg(F.max(rank[F.col("status")]).alias("r")).select(*by, name[F.col("r")].alias("status"))
 
 
-def matched_sources(documents: DataFrame, sources: DataFrame) -> DataFrame:
-    """document, source: by discipline and digest, else by a digest that exactly one unclaimed source has (J06). Of several
-    documents and sources with one discipline and digest, the first in id order go together, then the second, and so on; where
-    several documents want the one unclaimed source of a digest, the first in id order gets it."""
-    pair = ["discipline", "digest"]
-    exact = cut(within(documents, pair, ["document"], "turn").join(within(sources, pair, ["source"], "turn"), [*pair, "turn"]).select("document", "source"), "exact-matches")
-    left = documents.join(exact, "document", "left_anti")
-    free = sources.join(exact, "source", "left_anti").groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min("source").alias("source")).where("n = 1").drop("n")
-    rest = left.join(free, "digest").groupBy("source").agg(F.min("document").alias("document")).select("document", "source")
-    return exact.unionByName(rest)
+def matched_sources(documents: DataFrame, sources: DataFrame, place: str = "document") -> DataFrame:
+    """document, source: sources claim in order of discipline, then id. Each claims the first document, in order of `place`, of its
+    discipline and digest that no source has claimed, or else the one document of its digest that is left, if exactly one is
+    (J06). Digests that are null match nothing; a source or document without a match has no row.
+
+    A digest's claims are settled by counts: until one of its documents is left only claims by discipline succeed, so the first
+    source in order that has none and finds all but one claimed takes the last. Numbers are given by ranges, so no digest is one
+    task's."""
+    pair, known = ["discipline", "digest"], "digest is not null"
+    first = within(documents.where(known), pair, list(dict.fromkeys([place, "document"])), "turn").select("document", *pair, "turn")
+    exact = within(sources.where(known), pair, ["source"], "turn").join(first, [*pair, "turn"], "left").withColumn("own", F.col("document").isNotNull().cast("long"))
+    ordered = within(exact, ["digest"], ["discipline", "source"], "claimed", value="own")  # claims by discipline before each source
+    asked = cut(ordered.join(documents.groupBy("digest").agg(F.count(F.lit(1)).alias("n")), "digest"), "claims")
+    taker = asked.where("own = 0 and claimed = n - 1").groupBy("digest").agg(F.min(F.struct("discipline", "source")).alias("f")).select("digest", F.col("f.source").alias("taker"))
+    kept = asked.join(taker, "digest", "left").where("own = 1 and (taker is null or claimed < n - 1)").select("document", "source")
+    rest = documents.join(taker, "digest").join(kept, "document", "left_anti").select("document", F.col("taker").alias("source"))
+    return kept.unionByName(rest)

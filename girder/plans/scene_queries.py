@@ -484,8 +484,11 @@ def reopen_verdicts(spark, d):  # J08, J09, A20
 
 @query("""WITH d AS (SELECT s_suppkey AS document, s_nationkey % 5 AS k, s_suppkey % 40 AS g FROM supplier WHERE s_suppkey % 2 = 0), s AS (SELECT s_suppkey AS source, s_nationkey % 5 AS k, (s_suppkey - 1) % 40 AS g FROM supplier WHERE s_suppkey % 2 = 1),
 e AS (SELECT document, source FROM (SELECT *, row_number() OVER (PARTITION BY k, g ORDER BY document) AS r FROM d) JOIN (SELECT *, row_number() OVER (PARTITION BY k, g ORDER BY source) AS r FROM s) USING (k, g, r)),
-f AS (SELECT g, min(source) AS source FROM s WHERE source NOT IN (SELECT source FROM e) GROUP BY g HAVING count(*) = 1)
-SELECT * FROM e UNION ALL SELECT min(document), source FROM d JOIN f USING (g) WHERE document NOT IN (SELECT document FROM e) GROUP BY source""")
+o AS (SELECT g, k, s.source, document, count(document) OVER (PARTITION BY g ORDER BY k, s.source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM s LEFT JOIN e ON e.source = s.source),
+m AS (SELECT * FROM o JOIN (SELECT g, count(*) AS n FROM d GROUP BY g) USING (g)),
+f AS (SELECT g, source AS taker FROM (SELECT g, source, row_number() OVER (PARTITION BY g ORDER BY k, source) AS r FROM m WHERE document IS NULL AND c = n - 1) WHERE r = 1),
+x AS (SELECT document, source FROM m LEFT JOIN f USING (g) WHERE document IS NOT NULL AND (taker IS NULL OR c < n - 1))
+SELECT * FROM x UNION ALL SELECT document, taker FROM d JOIN f USING (g) WHERE document NOT IN (SELECT document FROM x)""")
 def source_match(spark, d):  # J06
     k, nation, s = F.col("s_suppkey"), (F.col("s_nationkey") % 5).alias("discipline"), load(spark, d, "supplier")
     docs = s.where("s_suppkey % 2 = 0").select(k.alias("document"), nation, (k % 40).alias("digest"))

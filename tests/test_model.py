@@ -6,7 +6,7 @@ from math import ceil
 from pyspark.sql import functions as F
 
 from girder.functions import scalars
-from girder.operators import model, ranking
+from girder.operators import changes, model, ranking
 from girder.sources import documents, part21
 from girder.streaming import folds
 
@@ -42,13 +42,29 @@ def test_rows_without_a_key_are_one_key(spark):  # ST01, ST03, ST05
 
 
 def test_equal_documents_take_equal_sources_in_turn(spark):  # J06
-    from girder.operators import changes
-
     documents_ = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "a", "x"), (4, "b", "y")], "document long, discipline string, digest string")
     sources = spark.createDataFrame([(11, "a", "x"), (12, "a", "x"), (13, "c", "y"), (14, "c", "x")], "source long, discipline string, digest string")
     assert sorted(map(tuple, changes.matched_sources(documents_, sources).collect())) == [(1, 11), (2, 12), (3, 14), (4, 13)]
 
 
+def test_sources_claim_in_order(spark):  # J06, against the loop
+    r = random.Random(4)
+    docs = [(i, r.choice("abcd"), r.choice("uvwxyz") if i % 9 else None, -i) for i in range(60)]
+    sources = [(100 + i, r.choice(["a", "b", "c", "d", "e", None]), r.choice("uvwxyz")) for i in range(60)]
+    docs += [(90, "z", "one", 0), (91, "a", "two", 0), (92, "b", "two", 0)]
+    sources += [(200, "a", "one"), (201, "z", "one"), (202, "b", "two"), (203, "a", "two"), (204, "c", "two"), (205, "q", "none")]
+    claimed = {}
+    for source, discipline, digest in sorted(sources, key=lambda s: (s[1] is not None, s[1] or "", s[0])):
+        left = [d for d in sorted(docs, key=lambda d: d[3]) if d[2] == digest and d[0] not in claimed]
+        own = [d for d in left if d[1] == discipline]
+        for d in own[:1] or (left if len(left) == 1 else []):
+            claimed[d[0]] = source
+    got = changes.matched_sources(
+        spark.createDataFrame(docs, "document long, discipline string, digest string, place long"), spark.createDataFrame(sources, "source long, discipline string, digest string"), "place"
+    ).collect()
+    assert len(got) == len(claimed) and dict(map(tuple, got)) == claimed and claimed[90] == 200 and claimed[91] == 203
+
+
 def test_redaction(spark):  # P18
     one = lambda s, known=(): spark.range(1).select(scalars.redacted(F.lit(s), list(known)).alias("x")).first().x
     assert one(r"open \\srv\share\x.ifc, then D:/a b") == "open <path>, then <path> b"
