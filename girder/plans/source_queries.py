@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girder.functions import scalars
 from girder.operators import model, ranking, validation
-from girder.sources import json_bytes, part21, scene_json, workload
+from girder.sources import json_bytes, parquet_footers, part21, scene_json, workload
 from girder.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +59,22 @@ def corpus_evidence(spark, d):  # S20: payloads and identities of each corpus, a
     return ranking.corpus_evidence(docs, ["source"], "text", "doc_id", "lang", "licence")
 
 
+_CORPORA = {"documents": ("text", "doc_id", "lang"), "pages": ("html", "page_id", "html"), "events": ("props", "event_id", "event_type"), "embeddings": ("embedding", "vec_id", "label"), "benchmark": ("text", "item_id", "text"), "labels": ("quality", "doc_id", "toxic"), "orders": ("o_orderpriority", "o_orderkey", "o_orderstatus")}
+
+
+def _evidence_sql(name: str, payload: str, identity: str, one: str) -> str:
+    single = f"count(DISTINCT {one}) = 1 AND count({one}) = count(*)"
+    return f"""SELECT '{name}' AS name, count(*) AS records, count({payload}) AS payloads, count({identity}) AS identities, count(DISTINCT {identity}) AS unique_identities, {single} AS single,
+  (SELECT string_agg(column_name, ',' ORDER BY column_name) FROM (DESCRIBE {name})) AS columns,
+  CASE WHEN count({payload}) < count(*) THEN 'payload' WHEN count(DISTINCT {identity}) < count(*) THEN 'identity' WHEN NOT ({single}) THEN '{one}' END AS problem FROM {name}"""
+
+
+@query(" UNION ALL ".join(_evidence_sql(n, *c) for n, c in _CORPORA.items()))
+def parquet_evidence(spark, d):  # S20: footers first, and the columns that they leave open
+    of = lambda name, payload, identity, one: parquet_footers.evidence(spark, f"{d}/{name}.parquet", payload, identity, (one,)).select(F.lit(name).alias("name"), F.col("rows").alias("records"), "payloads", "identities", "unique_identities", F.col("generators")[one].alias("single"), "columns", "problem")
+    return reduce(DataFrame.unionByName, [of(n, *c) for n, c in _CORPORA.items()])
+
+
 @query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'unknown-key' WHEN 1 THEN 'version' WHEN 2 THEN 'unreadable' END AS problem FROM supplier""")
 def workspace_manifests(spark, d):  # S21, U05
     k = F.col("s_suppkey") % 4
