@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from girder.functions import scalars
 from girder.operators import model, ranking, validation
 from girder.sources import json_bytes, parquet_footers, part21, scene_json, workload
-from girder.tables import load
+from girder.tables import cut, load, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -75,6 +75,27 @@ def parquet_evidence(spark, d):  # S20: footers first, and the columns that they
     return reduce(DataFrame.unionByName, [of(n, *c) for n, c in _CORPORA.items()])
 
 
+# headers that exchange files of the query begin with, by the file's number
+_EXCHANGE = ("ISO-10303-21;HEADER;FILE_SCHEMA(('IFC4X3_ADD2'));ENDSEC;", " ISO-10303-21;FILE_SCHEMA (( 'IFC2X3' ));", "ISO-10303-21;HEADER;ENDSEC;", "ISO-10303-21;FILE_SCHEMA(('IFC5'));", "PK", "ISO-10303-21;FILE_SCHEMA(('ifc4'));")
+
+
+@query(f"""WITH l AS (SELECT o_custkey AS f, o_orderkey AS place, '#' || o_orderkey || '= IFC' || replace(o_orderpriority[3:], ' ', '') || '(' || o_orderstatus || ');' AS value FROM orders),
+t AS (SELECT 'c' || f || CASE WHEN f % 7 = 0 THEN '.txt' ELSE '.ifc' END AS name, f % 7 = 0 AS odd, f % 6 AS k, count(*) AS n, count(DISTINCT split_part(value, '(', 1)[strpos(value, 'IFC'):]) AS types, max(place) AS last_id,
+  list_extract([{", ".join("'" + h.replace("'", "''") + "'" for h in _EXCHANGE)}], (f % 6 + 1)::INT) || chr(10) || string_agg(value, chr(10) ORDER BY place) || chr(10) || 'END-ISO-10303-21;' || chr(10) AS body FROM l GROUP BY f)
+SELECT name, strlen(body) AS byte_length, sha256(body) AS sha256, CASE k WHEN 0 THEN 'IFC4X3' WHEN 1 THEN 'IFC2X3' WHEN 5 THEN 'IFC4' END AS schema,
+  CASE WHEN odd THEN 'extension' WHEN k = 4 THEN 'magic' WHEN k = 2 THEN 'undeclared' WHEN k = 3 THEN 'schema' END AS problem, (n + 2)::BIGINT AS lines, n AS instances, types, last_id FROM t""")
+def exchange_files(spark, d):  # S01, S04: a file for each customer's orders, written, inspected and scanned
+    o, f = load(spark, d, "orders"), F.col("o_custkey")
+    name = F.concat(F.lit("c"), f, F.when(f % 7 == 0, ".txt").otherwise(".ifc"))
+    value = F.concat(F.lit("#"), F.col("o_orderkey"), F.lit("= IFC"), F.replace(F.substring("o_orderpriority", 3, 99), F.lit(" "), F.lit("")), F.lit("("), "o_orderstatus", F.lit(");"))
+    head = F.get(F.array(*map(F.lit, _EXCHANGE)), (f % 6).cast("int"))
+    names = o.select("o_custkey").distinct()
+    lines = o.select(name.alias("name"), F.col("o_orderkey").alias("place"), value.alias("value")).unionByName(names.select(name.alias("name"), F.lit(-1).alias("place"), head.alias("value"))).unionByName(names.select(name.alias("name"), F.lit(1 << 62).alias("place"), F.lit("END-ISO-10303-21;").alias("value")))
+    folder = shared_path(spark, "exchange")
+    cut(part21.write_files(lines, folder), "exchange-files")
+    return part21.inspect_ifc(spark, folder).join(part21.census(spark, folder), "name")
+
+
 @query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'unknown-key' WHEN 1 THEN 'version' WHEN 2 THEN 'unreadable' END AS problem FROM supplier""")
 def workspace_manifests(spark, d):  # S21, U05
     k = F.col("s_suppkey") % 4

@@ -11,11 +11,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girder.tables import cut
+from girder.tables import cut, listed, opened_store
 
 # fixed values: a file's first and last bytes
 MAGIC = b"PAR1"
@@ -49,7 +48,7 @@ def _column(meta: pq.FileMetaData, leaf: int, kind: pa.DataType) -> tuple[int |
 
 def _inspect(path: str, size: int) -> list[dict]:
     """A row for each top-level column of a file, or one with the file's problem."""
-    store, at = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+    store, at = opened_store(path)
     row = {"path": path, "bytes": size, "fetched": 0, **dict.fromkeys(_SCHEMA.names[3:])}
     if size < 12:
         return [row | {"problem": "short"}]
@@ -85,8 +84,7 @@ def footers(spark: SparkSession, path: str) -> DataFrame:
             for path, size in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist()):
                 yield pa.RecordBatch.from_pylist(_inspect(path, size), _SCHEMA)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
-    return files.select("path", "length").repartition("path").mapInArrow(run, _DDL)
+    return listed(spark, path, ".parquet", deep=True).mapInArrow(run, _DDL)
 
 
 def evidence(spark: SparkSession, path: str, payload: str, identity: str, single: tuple[str, ...] = ()) -> DataFrame:
@@ -105,6 +103,8 @@ def evidence(spark: SparkSession, path: str, payload: str, identity: str, single
     known = [x for i in range(len(wanted)) for x in (F.sum(f"n{i}").alias(f"n{i}"), F.bool_and(F.col(f"n{i}").isNotNull()).alias(f"nk{i}"), F.count_distinct(F.when(full, F.col(f"o{i}"))).alias(f"o{i}"), F.bool_and(~full | F.col(f"o{i}").isNotNull()).alias(f"ok{i}"))]
     s = by_file.agg(F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.min("problem").alias("problem"), F.sum("rows").alias("rows"), F.sum("row_groups").alias("row_groups"), F.min("columns").alias("columns"), F.max("columns").alias("most"), *known).first()
     held = set((s["columns"] or "").split(","))
+    if not s["files"]:
+        raise FileNotFoundError(f"no Parquet file under {path}")
     problem = s["problem"] or ("columns" if s["columns"] != s["most"] or not held.issuperset(wanted) else None)
     counted = {c: F.lit(s["rows"] - s[f"n{i}"]) for i, c in enumerate(wanted) if s[f"nk{i}"]}
     alone = {c: F.lit(s[f"o{i}"] == 1 and s[f"n{i}"] == 0) for i, c in enumerate(wanted) if c in single and s[f"nk{i}"] and s[f"ok{i}"]}

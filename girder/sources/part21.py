@@ -2,20 +2,85 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from girder.tables import listed, opened_store
+
 # fixed values: accepted schemas and what their names start with
 IFC_SCHEMAS = ("IFC4X3", "IFC4", "IFC2X3")
 STEP_SCHEMAS = {"AP242": ("AP242", 242), "AP214": ("AUTOMOTIVE_DESIGN", 214), "AP203": ("CONFIG_CONTROL_DESIGN", 203)}
 ENTITY = r"^\s*#(\d+)\s*=\s*(?:\(\s*)?([A-Za-z]\w*)\s*\("
 HEADER_BYTES = 256 * 1024
+BLOCK = 4 << 20
+_FILES = {"path": pa.string(), "name": pa.string(), "byte_length": pa.int64(), "sha256": pa.string(), "head": pa.string()}
 
 
 def files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, name, byte_length, sha256 and the first HEADER_BYTES as text."""
-    found = spark.read.format("binaryFile").load(paths)
-    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("byte_length"), F.sha2("content", 256).alias("sha256"), F.decode(F.substring("content", 1, HEADER_BYTES), "ISO-8859-1").alias("head"))
+    """path, name, byte_length, sha256 and the first HEADER_BYTES as text of the files at or right under some paths. Each file
+    streams through a task that holds a block of it, so files may be of any size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                store, at = opened_store(path)
+                digest, size, head = hashlib.sha256(), 0, b""
+                with store.open_input_stream(at, compression=None) as f:
+                    while block := f.read(BLOCK):
+                        digest.update(block)
+                        size += len(block)
+                        head += block[: HEADER_BYTES - len(head)]
+                row = (path, path.rsplit("/", 1)[-1], size, digest.hexdigest(), head.decode("latin-1"))
+                yield pa.RecordBatch.from_pylist([dict(zip(_FILES, row))], pa.schema(list(_FILES.items())))
+
+    return listed(spark, paths).mapInArrow(run, "path string, name string, byte_length long, sha256 string, head string")
+
+
+def write_files(lines: DataFrame, folder: str) -> DataFrame:
+    """Writes lines(name, place, value) as a file for each name, its lines in order of place; (name, byte_length) of each file.
+    Lines are sorted by Spark and stream into the file. A file appears under its name when it is whole, so that a repeated task
+    does no harm; the caller evaluates the result once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = opened_store(folder)
+        store.create_dir(base, recursive=True)
+        name, out, part = None, None, ""
+
+        def close() -> pa.RecordBatch:
+            size = out.tell()
+            out.close()
+            store.move(part, f"{base}/{name}")
+            return pa.RecordBatch.from_pydict({"name": [name], "byte_length": [size]})
+
+        for batch in batches:
+            for own, value in zip(batch.column("name").to_pylist(), batch.column("value").to_pylist()):
+                if own != name:
+                    if out is not None:
+                        yield close()
+                    name, part = own, f"{base}/_{uuid.uuid4().hex}"
+                    out = store.open_output_stream(part)
+                out.write(((value or "") + "\n").encode())
+        if out is not None:
+            yield close()
+
+    named = lines.where("name is not null").select("name", "place", "value")
+    return named.repartition("name").sortWithinPartitions("name", "place", "value").mapInArrow(run, "name string, byte_length long")
+
+
+def census(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """name, lines, instances, types and the largest id of each exchange file (S04), in one pass by splits of the files."""
+    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    kind = F.when(F.col("value").rlike(ENTITY), F.upper(F.regexp_extract("value", ENTITY, 2)))
+    number = F.when(kind.isNotNull(), F.regexp_extract("value", ENTITY, 1).cast("long"))
+    by_type = rows.groupBy("path", kind.alias("type")).agg(F.count(F.lit(1)).alias("n"), F.max(number).alias("last_id"))
+    own = F.col("type").isNotNull()
+    name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B"))).alias("name")
+    return by_type.groupBy("path").agg(F.sum("n").alias("lines"), F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)).alias("instances"), F.count("type").alias("types"), F.max("last_id").alias("last_id")).select(name, "lines", "instances", "types", "last_id")
 
 
 def schema_names(head: Column) -> Column:
@@ -43,7 +108,7 @@ def step_schema(head: Column) -> Column:
 def _inspected(found: DataFrame, extension: str, schema: Column, accepted: tuple[str, ...]) -> DataFrame:
     """name, byte_length, sha256, schema and problem: extension, magic, declaration and schema are checked in this order."""
     problem = (
-        F.when(~F.lower("name").rlike(extension), "extension").when(~F.ltrim("head").startswith("ISO-10303-21;"), "magic")
+        F.when(~F.lower("name").rlike(extension), "extension").when(~F.col("head").rlike(r"^[\s\xA0]*ISO-10303-21;"), "magic")
         .when(schema_names(F.col("head")).isNull(), "undeclared").when(~F.coalesce(schema.isin(*accepted), F.lit(False)), "schema")
     )
     return found.select("name", "byte_length", "sha256", schema.alias("schema"), problem.alias("problem"))

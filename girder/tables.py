@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 from weakref import WeakKeyDictionary
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,6 +36,32 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def opened_store(path: str) -> tuple[fs.FileSystem, str]:
+    """The store of a path as Spark names it, and the place there. Names of local files may hold blanks and signs."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+
+
+def listed(spark: SparkSession, paths: str | list[str], ending: str = "", deep: bool = False) -> DataFrame:
+    """(path, length) of the files at or under some paths, those without bytes included, which Spark's own readers leave out.
+    Names that begin with a dot or an underscore are skipped. A task lists a path; only names pass through it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                store, at = opened_store(path)
+                own, base = store.get_file_info(at), path.rstrip("/")
+                if own.type == fs.FileType.NotFound:
+                    raise FileNotFoundError(path)
+                found = [(base, own)] if own.is_file else [(base + i.path[len(at.rstrip("/")) :], i) for i in store.get_file_info(fs.FileSelector(at, recursive=deep))]
+                kept = [(p, i.size) for p, i in found if i.is_file and p.endswith(ending) and not re.search(r"(^|/)[._]", p[len(base) :])]
+                yield pa.RecordBatch.from_pydict({"path": [p for p, _ in kept], "length": [n for _, n in kept]}, pa.schema([("path", pa.string()), ("length", pa.int64())]))
+
+    given = spark.createDataFrame([(p,) for p in ([paths] if isinstance(paths, str) else paths)], "path string")
+    return given.mapInArrow(run, "path string, length long").repartition("path")
+
+
 _written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 

@@ -20,6 +20,8 @@ def test_footers(spark, tmp_path):
     write(tmp_path / "a", "1.parquet", table(many, ["t" * 50 + str(i) if i % 10 else None for i in many], ["v1"] * len(many)), row_group_size=5000)
     write(tmp_path / "a", "2.parquet", table([1], ["x"], ["v2"]), write_statistics=False)
     (tmp_path / "a" / "short.parquet").write_bytes(b"PAR1")
+    (tmp_path / "a" / "none.parquet").write_bytes(b"")
+    (tmp_path / "a" / "_SUCCESS").write_bytes(b"")
     (tmp_path / "a" / "other.parquet").write_bytes(b"PK" + b"0" * 100)
     (tmp_path / "a" / "broken.parquet").write_bytes(b"PAR1" + b"0" * 100 + (20).to_bytes(4, "little") + b"PAR1")
     (tmp_path / "a" / "cut.parquet").write_bytes(b"PAR1" + b"0" * 100 + (2000).to_bytes(4, "little") + b"PAR1")
@@ -28,7 +30,7 @@ def test_footers(spark, tmp_path):
     assert {r.column: (r.rows, r.row_groups, r.nulls, r.only) for r in of("1")} == {"id": (20_000, 4, 0, None), "text": (20_000, 4, 2000, None), "version": (20_000, 4, 0, "v1"), "tags": (20_000, 4, None, None)}
     assert all(r.fetched < r.bytes / 10 for r in of("1"))
     assert {(r.column, r.nulls, r.only) for r in of("2")} == {("id", None, None), ("text", None, None), ("version", None, None), ("tags", None, None)}
-    assert {n: [r.problem for r in of(n)] for n in ("short", "other", "broken", "cut")} == {"short": ["short"], "other": ["magic"], "broken": ["footer"], "cut": ["footer"]}
+    assert {n: [r.problem for r in of(n)] for n in ("short", "none", "other", "broken", "cut")} == {"none": ["short"], "short": ["short"], "other": ["magic"], "broken": ["footer"], "cut": ["footer"]}
 
 
 def one(spark, path, payload="text", single=("version",)):
