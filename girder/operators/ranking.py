@@ -94,12 +94,12 @@ def dense_rank_all(df: DataFrame, order: list[str], name: str, value: str | None
     """Number all rows from 0 in a total order, or with `value` give the sum of the values before (W03), without one task
     seeing every row: rows are dealt by ranges and sorted there, and each range starts at the sums of the ranges before."""
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    part = cut(dealt.withColumn("part", F.spark_partition_id()), "ranges")
+    part = cut(dealt.withColumn("_range", F.spark_partition_id()), "ranges")
     own = F.col(value).cast("long") if value else F.lit(1).cast("long")
-    totals = part.groupBy("part").agg(F.sum(own).alias("total"))
-    before = totals.select("part", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row for each range
-    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return part.withColumn("inside", F.sum(own).over(inside) - own).join(F.broadcast(before), "part").withColumn(name, F.col("before") + F.col("inside")).drop("part", "before", "inside")
+    totals = part.groupBy("_range").agg(F.sum(own).alias("_total"))
+    before = totals.select("_range", F.coalesce(F.sum("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return part.withColumn("_inside", F.sum(own).over(inside) - own).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_inside")).drop("_range", "_before", "_inside")
 
 
 def within(df: DataFrame, by: list[str], order: list[str], name: str, value: str | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
 """Scene documents: the top-level arrays of one JSON text, record by record, and manifests.
 
 A text is read in spans of bytes, each by a task of its own. Whether a span begins within a string, and how deep, depends on
-all before it; so a first pass counts, for either case, the quotes and brackets of each span, and a few numbers a span tell
-the driver how each begins. A second pass finds the top-level members, a third cuts their arrays into records at the
+all before it; so a first pass counts, for either case, the quotes and brackets of each span, and sums over the spans before,
+given by ranges, tell each how it begins: a table of states, of which a task gets its own row. A second pass finds the top-level members, a third cuts their arrays into records at the
 commas of their level; the record that a span's last comma begins is read on beyond its end.
 """
 
@@ -13,9 +13,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from girder.operators.ranking import dense_rank_all, within
 from girder.tables import cut
 
 SPAN = 16 << 20
@@ -87,17 +88,16 @@ def _marks(raw: np.ndarray, quotes: np.ndarray, inside: bool) -> np.ndarray:
     return at[(np.searchsorted(quotes, at) + inside) % 2 == 0]
 
 
-def _each_span(spark: SparkSession, path: str, span: int, work: Callable[[_Text, int], dict[str, list]], schema: pa.Schema, ddl: str) -> DataFrame:
-    """work(text, number of the span) in a task of its own for each span."""
-    spans = max(1, -(-_Text(path).size // span))
+def _each_span(spans: DataFrame, count: int, path: str, work: Callable[..., dict[str, list]], schema: pa.Schema, ddl: str) -> DataFrame:
+    """work(text, *row) for each row of `spans`, its number first, each in a task of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = _Text(path)
         for batch in batches:
-            for i in batch.column("id").to_pylist():
-                yield pa.RecordBatch.from_pydict(work(text, i), schema)
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                yield pa.RecordBatch.from_pydict(work(text, *row), schema)
 
-    return spark.range(0, spans, 1, spans).mapInArrow(run, ddl)
+    return spans.repartition(count).mapInArrow(run, ddl)
 
 
 def _summary(span: int) -> Callable:
@@ -110,12 +110,11 @@ def _summary(span: int) -> Callable:
     return work
 
 
-def _members(span: int, states: list[tuple[bool, int]]) -> Callable:
+def _members(span: int) -> Callable:
     """What happens at the top level of a span: ':' with the key before it, ',' and '}', and '!' for bytes behind the document."""
 
-    def work(text: _Text, i: int) -> dict[str, list]:
+    def work(text: _Text, i: int, inside: bool, depth: int) -> dict[str, list]:
         raw = np.frombuffer(text.read(i * span, (i + 1) * span), np.uint8)
-        inside, depth = states[i]
         quotes = _quotes(raw, text.backslashes(i * span))
         at = _marks(raw, quotes, inside)
         before = depth + np.cumsum(_STEP[raw[at]]) - _STEP[raw[at]]
@@ -128,12 +127,11 @@ def _members(span: int, states: list[tuple[bool, int]]) -> Callable:
     return work
 
 
-def _records(span: int, states: list[tuple[bool, int]], members: list[tuple[str, int, int]]) -> Callable:
+def _records(span: int, members: list[tuple[str, int, int]]) -> Callable:
     """The records that begin in a span: elements of arrays, and other members whole."""
 
-    def work(text: _Text, i: int) -> dict[str, list]:
+    def work(text: _Text, i: int, inside: bool, depth: int) -> dict[str, list]:
         low, high = i * span, min((i + 1) * span, text.size)
-        inside, depth = states[i]
         raw = np.frombuffer(text.read(low, high), np.uint8)
 
         def borders(raw: np.ndarray, base: int, inside: bool, depth: int) -> tuple[list[int], bool, int]:
@@ -183,34 +181,45 @@ _MEMBERS = pa.schema([("at", pa.int64()), ("kind", pa.string()), ("key", pa.stri
 _RECORDS = pa.schema([("collection", pa.string()), ("part", pa.int64()), ("turn", pa.int64()), ("record", pa.string())])
 
 
-def top_level(spark: SparkSession, path: str, span: int = SPAN) -> tuple[list[tuple[bool, int]], list[tuple[str, int, int]]]:
-    """(whether each span begins in a string and how deep, the members as (key, first byte of the value, end)). A repeated key
-    counts with its last member; bytes behind the document are an error. A few numbers a span and the names of the top level
-    reach the driver."""
-    sums = _each_span(spark, path, span, _summary(span), _SUMMARY, "span long, odd boolean, outside long, inside long").collect()
-    states, inside, depth = [], False, 0
-    for r in sorted(sums, key=lambda r: r.span):
-        states.append((inside, depth))
-        inside, depth = inside != r.odd, depth + (r.inside if inside else r.outside)
-    if inside or depth:
+def _span_count(path: str, span: int) -> int:
+    return max(1, -(-_Text(path).size // span))
+
+
+def states(spark: SparkSession, path: str, span: int = SPAN) -> DataFrame:
+    """(span, inside, depth): whether each span of bytes begins in a string, and how deep."""
+    count = _span_count(path, span)
+    sums = cut(_each_span(spark.range(count), count, path, _summary(span), _SUMMARY, "span long, odd boolean, outside long, inside long"), "spans")
+    begun = dense_rank_all(sums.withColumn("flips", F.col("odd").cast("long")), ["span"], "flipped", value="flips").withColumn("begins", F.col("flipped") % 2 == 1)
+    deeper = begun.withColumn("deeper", F.when(F.col("begins"), F.col("inside")).otherwise(F.col("outside")))
+    found = dense_rank_all(deeper.select("span", "odd", "begins", "deeper"), ["span"], "depth", value="deeper")
+    end = found.agg(F.max_by(F.struct((F.col("begins") != F.col("odd")).alias("inside"), (F.col("depth") + F.col("deeper")).alias("depth")), "span").alias("s")).first().s
+    if end.inside or end.depth:
         raise ValueError("the document ends early")
-    events = sorted((r.at, r.kind, r.key) for r in _each_span(spark, path, span, _members(span, states), _MEMBERS, "at long, kind string, key string").collect())
-    if any(kind == "!" for _, kind, _ in events):
+    return cut(found.select("span", F.col("begins").alias("inside"), "depth"), "span-states")
+
+
+def top_level(spans: DataFrame, path: str, span: int = SPAN) -> list[tuple[str, int, int]]:
+    """The members as (key, first byte of the value, end), given the states of the spans. A repeated key counts with its last
+    member; bytes behind the document are an error. The names of the top level, and where they stand, reach the driver."""
+    found = cut(_each_span(spans, _span_count(path, span), path, _members(span), _MEMBERS, "at long, kind string, key string"), "scene-members")
+    if not found.where("kind = '!'").isEmpty():
         raise ValueError("bytes behind the document")
-    text, found = _Text(path), {}
+    events = sorted((r.at, r.kind, r.key) for r in found.collect())
+    text, members = _Text(path), {}
     for (at, kind, key), (stop, _, _) in zip(events, events[1:]):
         if kind == ":":
             head = text.read(at + 1, min(stop, at + 4097))
-            found[key] = (at + 1 + len(head) - len(head.lstrip(_WHITE)), stop)
-    return states, [(k, a, b) for k, (a, b) in found.items()]
+            members[key] = (at + 1 + len(head) - len(head.lstrip(_WHITE)), stop)
+    return [(k, a, b) for k, (a, b) in members.items()]
 
 
 def read_scene(spark: SparkSession, path: str, span: int = SPAN) -> DataFrame:
     """(collection, position, record) of each top-level array's elements (S06); any other member is one record."""
-    states, members = top_level(spark, path, span)
-    rows = cut(_each_span(spark, path, span, _records(span, states, members), _RECORDS, "collection string, part long, turn long, record string"), "scene-records")
+    spans = states(spark, path, span)
+    members = top_level(spans, path, span)
+    rows = cut(_each_span(spans, _span_count(path, span), path, _records(span, members), _RECORDS, "collection string, part long, turn long, record string"), "scene-records")
     counts = rows.groupBy("collection", "part").agg(F.count(F.lit(1)).alias("n"))  # a row for each span of a collection
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("collection").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = within(counts, ["collection"], ["part"], "before", value="n")
     return rows.join(before.drop("n"), ["collection", "part"]).select("collection", (F.col("before") + F.col("turn")).alias("position"), "record")
 
 

@@ -73,3 +73,12 @@ def test_nulls_clashing_names_and_no_rows(spark):
     assert got.columns == ["doc", "i", "byte_offset", "byte_length", "part", "row", "group"]
     assert {x.i: x.group for x in got.collect()} == plain(rows, 100) == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3, 5: 0, 6: 0, 7: 0}
     assert coalesce_ranges(df.where("i < 0"), "doc", 100).collect() == []
+
+
+def test_numbers_beside_columns_of_common_names(spark):
+    from girder.operators.ranking import dense_rank_all, within
+
+    rows = [(i, i % 3, -i, i * 2, i + 1) for i in range(50)]
+    df = spark.createDataFrame(rows, "k long, part long, inside long, before long, total long").repartition(5)
+    assert sorted(map(tuple, dense_rank_all(df, ["k"], "n").collect())) == [(*r, i) for i, r in enumerate(rows)]
+    assert {r.k: r.n for r in within(df, ["part"], ["k"], "n").collect()} == {k: k // 3 for k in range(50)}
