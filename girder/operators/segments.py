@@ -9,16 +9,20 @@ second pass over the rows numbers the groups.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from girder.tables import cut
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not have the package on their path
+
 
 class _Rows:
     """Sums and borders of some rows in order. `borders` are rows that begin a group whatever came before, but for row 0."""
