@@ -102,6 +102,18 @@ def test_leaves(spark, monkeypatch, in_a_task, about):  # G08; brackets that hol
         assert got == brute_leaves(boxes, 5)
 
 
+def test_leaves_of_several_levels(spark, monkeypatch):  # G08: levels along one axis cost one round; equal centres are told by id
+    labels, write = [], spatial.cut
+    monkeypatch.setattr(spatial, "TASK_BOXES", 8)
+    monkeypatch.setattr(spatial, "cut", lambda df, label: labels.append(label) or write(df, label))
+    r = random.Random(4)
+    boxes = [(f"id{i:03d}", *[v for size in (5000, 3, 3) for a in [r.randint(0, size) // 40 * 40] for v in (a, a + r.randint(0, 1))]) for i in range(130)]
+    columns = "id string, min_x long, max_x long, min_y long, max_y long, min_z long, max_z long"
+    got = {x.id: x.leaf for x in spatial.leaves(spark.createDataFrame(boxes, columns), 5).collect()}
+    assert got == brute_leaves(boxes, 5)
+    assert labels.count("bvh") == 1
+
+
 IDENTITY = [1.0 if i % 5 == 0 else 0.0 for i in range(16)]
 
 
