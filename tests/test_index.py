@@ -149,3 +149,19 @@ def test_snapshot_stream(spark, tmp_path):  # S24, A24
     # without what came too late, the batch answer is the same
     batch = spark.createDataFrame([r for r in first + second + third[1:]], schema.replace("timestamp", "string")).withColumn("ts", F.to_timestamp("ts"))
     assert {r.machine: tuple(r)[1:] for r in snapshots.peaks(snapshots.snapshots(batch, "10 minutes", "15 minutes")).collect()} == peaks
+
+
+def test_pairs_are_not_kept(spark, boxes, placed, monkeypatch):  # J24: tables grow with frames, not with what they see; equal views are walked once
+    rows = {}
+
+    def kept(df, label, cut=spatial_index.cut):
+        out = cut(df, label)
+        rows.setdefault(label, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial_index, "cut", kept)
+    views_ = [(10 * k + f, *rest) for k in range(3) for f, *rest in views()]
+    frames = spark.createDataFrame(views_, "frame long, " + ", ".join(f"{c} double" for c in spatial_index.MATRIX + spatial_index.ORIGIN))
+    stats = {r.frame: tuple(r)[1:] for r in spatial_index.see(spatial_index.nodes(placed), frames).stats().collect()}
+    assert sum(rows["index-seen"]) <= 4
+    assert all(stats.get(10 * k + f) == stats.get(f) for k in range(3) for f in range(1, 5)) and len(stats) % 3 == 0 < len(stats)
