@@ -165,3 +165,17 @@ def test_pairs_are_not_kept(spark, boxes, placed, monkeypatch):  # J24: tables g
     stats = {r.frame: tuple(r)[1:] for r in spatial_index.see(spatial_index.nodes(placed), frames).stats().collect()}
     assert sum(rows["index-seen"]) <= 4
     assert all(stats.get(10 * k + f) == stats.get(f) for k in range(3) for f in range(1, 5)) and len(stats) % 3 == 0 < len(stats)
+
+
+def test_nothing_is_broadcast_but_a_few_rows(spark, placed, monkeypatch):  # G14: tables that grow with the tree don't pass through the driver
+    plans = []
+
+    def seen(df, label, cut=spatial_index.cut):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df, label)
+
+    monkeypatch.setattr(spatial_index, "cut", seen)
+    found = spatial_index.proof(spatial_index.flatten(placed), 8)
+    assert found.collect() == []
+    joins = [line for plan in [*plans, found._jdf.queryExecution().executedPlan().toString()] for line in plan.splitlines() if "BroadcastHashJoin" in line]
+    assert all("[_range" in line for line in joins), joins
