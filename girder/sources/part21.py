@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -18,6 +19,7 @@ STEP_SCHEMAS = {"AP242": ("AP242", 242), "AP214": ("AUTOMOTIVE_DESIGN", 214), "A
 ENTITY = r"^\s*#(\d+)\s*=\s*(?:\(\s*)?([A-Za-z]\w*)\s*\("
 HEADER_BYTES = 256 * 1024
 BLOCK = 4 << 20
+_NEW = re.compile(rb"\r\n?|\n")
 _FILES = {"path": pa.string(), "name": pa.string(), "byte_length": pa.int64(), "sha256": pa.string(), "head": pa.string()}
 
 
@@ -72,14 +74,50 @@ def write_files(lines: DataFrame, folder: str) -> DataFrame:
     return named.repartition("name").sortWithinPartitions("name", "place", "value").mapInArrow(run, "name string, byte_length long")
 
 
+def _own_lines(f: pa.NativeFile, begin: int, end: int, size: int) -> Iterator[bytes]:
+    """The lines that begin from `begin` to before `end` of a file; they end with a line feed, a carriage return or both."""
+    at = max(begin - 1, 0)
+    f.seek(at)
+    data = f.read(min(end, size) - at)
+    while (at + len(data)) < size and (data[-1:] == b"\r" or not _NEW.search(data, max(end - 1 - at, 0))):
+        data += f.read(BLOCK)
+    place = 0 if not begin else m.end() if (m := _NEW.search(data)) else len(data)
+    while place < len(data) and at + place < end:
+        m = _NEW.search(data, place)
+        yield data[place : m.start() if m else len(data)]
+        place = m.end() if m else len(data)
+
+
+def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, value of the lines of the files at or right under some paths. Tasks list the files and read them by splits of BLOCK bytes, so
+    neither their number nor their size is the driver's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own: tuple[list, list] = [], []
+            for path, begin, size in zip(*(batch.column(c).to_pylist() for c in ("path", "begin", "length"))):
+                store, at = opened_store(path)
+                with store.open_input_file(at) as f:
+                    for line in _own_lines(f, begin, begin + BLOCK, size):
+                        own[0].append(path)
+                        own[1].append(line.decode("utf-8", "replace"))
+                        if len(own[0]) == 10_000:
+                            yield pa.RecordBatch.from_pydict({"path": own[0], "value": own[1]})
+                            own = [], []
+            yield pa.RecordBatch.from_pydict({"path": own[0], "value": own[1]}, pa.schema([("path", pa.string()), ("value", pa.string())]))
+
+    splits = listed(spark, paths).where("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(BLOCK).cast("long"))).alias("begin"))
+    return splits.repartition("path", "begin").mapInArrow(run, "path string, value string")
+
+
 def census(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """name, lines, instances, types and the largest id of each exchange file (S04), in one pass by splits of the files."""
-    rows = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    rows = lines(spark, paths)
     kind = F.when(F.col("value").rlike(ENTITY), F.upper(F.regexp_extract("value", ENTITY, 2)))
     number = F.when(kind.isNotNull(), F.regexp_extract("value", ENTITY, 1).cast("long"))
     by_type = rows.groupBy("path", kind.alias("type")).agg(F.count(F.lit(1)).alias("n"), F.max(number).alias("last_id"))
     own = F.col("type").isNotNull()
-    name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B"))).alias("name")
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
     return by_type.groupBy("path").agg(F.sum("n").alias("lines"), F.coalesce(F.sum(F.when(own, F.col("n"))), F.lit(0)).alias("instances"), F.count("type").alias("types"), F.max("last_id").alias("last_id")).select(name, "lines", "instances", "types", "last_id")
 
 

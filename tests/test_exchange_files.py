@@ -2,6 +2,8 @@
 
 import hashlib
 
+import pyarrow as pa
+
 from girder.sources import part21
 
 
@@ -26,3 +28,15 @@ def test_written_files(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.ifc", "b.ifc"]
     assert (tmp_path / "out/a.ifc").read_text() == "#1=X();\n#2=X();\n#3=X();\n" and (tmp_path / "out/b.ifc").read_text() == "é\n\n"
     assert part21.write_files(spark.createDataFrame([], "name string, place long, value string"), folder).collect() == []
+
+
+def test_lines_by_splits(spark, tmp_path, monkeypatch):  # each line once wherever splits fall; the driver lists no files
+    text = b"ab\r\nc\r\r\n\n" + "é".encode() + b"\nlast"
+    (tmp_path / "a").write_bytes(text)
+    with pa.OSFile(str(tmp_path / "a")) as f:
+        for n in range(1, len(text) + 2):
+            got = [line for k in range(0, len(text), n) for line in part21._own_lines(f, k, k + n, len(text))]
+            assert got == [b"ab", b"c", b"", b"", "é".encode(), b"last"], n
+    census = part21.census(spark, f"file://{tmp_path}")
+    assert "FileScan text" not in census._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in census.collect()] == [("a", 6, 0, 0, None)]
