@@ -80,11 +80,13 @@ def local_transforms(nodes: DataFrame) -> DataFrame:
 
 def box_instances(boxes: DataFrame) -> DataFrame:
     """boxes(id, world, min_x..max_z) with `instance`, the matrix that puts a unit cube around the origin there:
-    world x T(centre) x S(size) (G11)."""
-    centre, size = ({a: f(F.col(f"min_{a}"), F.col(f"max_{a}")) for a in "xyz"} for f in (lambda lo, hi: (lo + hi) / 2, lambda lo, hi: hi - lo))
-    zero, one = F.lit(0.0), F.lit(1.0)
-    cell = [size["x"], zero, zero, zero, zero, size["y"], zero, zero, zero, zero, size["z"], zero, centre["x"], centre["y"], centre["z"], one]
-    return boxes.withColumn("instance", multiply(F.col("world"), F.array(*[c.cast("double") for c in cell])))
+    world x T(centre) x S(size), made without the products by cells that are always 0 (G11). An array among the factors would be
+    built anew for every product, in code that Spark cannot compile."""
+    world = lambda r, c: F.col("world")[c * 4 + r]
+    centre, size = ([f(F.col(f"min_{a}"), F.col(f"max_{a}")).cast("double") for a in "xyz"] for f in (lambda lo, hi: (lo + hi) / 2, lambda lo, hi: hi - lo))
+    turned = [world(r, c) * size[c] for c in range(3) for r in range(4)]
+    moved = [world(r, 0) * centre[0] + world(r, 1) * centre[1] + world(r, 2) * centre[2] + world(r, 3) for r in range(4)]
+    return boxes.withColumn("instance", F.array(*turned, *moved))
 
 
 def chunk_bounds(instances: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Meshes, instances, row rules and sidecars on literal inputs."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -40,6 +42,22 @@ def test_basis_and_instances(spark):  # P07, G11
     assert (m @ [0.5, 0.5, 0.5, 1]).tolist() == [4, 3, 1, 1] and (m @ [-0.5, -0.5, -0.5, 1]).tolist() == [0, 2, -1, 1]
 
 
+def test_instances_are_compiled(spark, capsys):  # G11: what Spark cannot compile, and methods over 8,000 bytes, are interpreted row by row
+    sides = {f"{s}_{a}": (F.col("id") * k + n).cast(kind) for k, (a, kind) in enumerate((("x", "long"), ("y", "double"), ("z", "int")), 2) for n, s in enumerate(("min", "max"))}
+    given = spark.range(5).withColumns(sides).withColumns({"cells": F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: (F.col("id") * i - 7) / 4)})
+    literal = F.array(*[F.lit(float(v)) for v in (2, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 5, 0, 0, 1)])
+    for world in (literal, F.col("cells")):
+        made = geometry.box_instances(given.withColumn("world", world)).withColumn("corner", F.element_at("instance", 1))
+        made.explain("codegen")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(-?\d+)", capsys.readouterr().out)]
+        assert sizes and all(0 < n < 8000 for n in sizes)
+        for r in made.collect():
+            centre, size = ([f(r[f"min_{a}"], r[f"max_{a}"]) for a in "xyz"] for f in (lambda lo, hi: (lo + hi) / 2, lambda lo, hi: hi - lo))
+            box = np.diag([*size, 1.0])
+            box[:3, 3] = centre
+            assert (np.array(r.instance).reshape(4, 4).T == np.array(r.world).reshape(4, 4).T @ box).all()
+
+
 def test_edges(spark):  # P22
     df = spark.createDataFrame([(1, [0, 1, 1, 2], [0, 6], [9, 4]), (2, [0], [0], [1]), (3, [0, 1], [7], [1]), (4, [0, 1], [1], [1, 2]), (5, [0, 1], [1], [0])], "id int, indices array<int>, classes array<int>, sources array<int>")
     got = {r.id: r for r in geometry.edge_records(df).collect()}
