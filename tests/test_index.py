@@ -179,3 +179,31 @@ def test_nothing_is_broadcast_but_a_few_rows(spark, placed, monkeypatch):  # G14
     assert found.collect() == []
     joins = [line for plan in [*plans, found._jdf.queryExecution().executedPlan().toString()] for line in plan.splitlines() if "BroadcastHashJoin" in line]
     assert all("[_range" in line for line in joins), joins
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_demand_in_tasks_and_by_windows(spark, placed, monkeypatch, kind):  # A15, T06: frames with the same view, few views, chunks listed several times
+    monkeypatch.setattr(spatial_index, "TOP", 3)
+    views_ = [(10 * k + f, *rest) for k in range(5) for f, *rest in views()]
+    frames = spark.createDataFrame(views_, "frame long, " + ", ".join(f"{c} double" for c in spatial_index.MATRIX + spatial_index.ORIGIN))
+    own = placed.withColumn("chunk", (F.col("chunk") * 3).cast(kind))
+    listed = own.select("leaf", "chunk").union(own.select("leaf", F.lit(None).cast(kind)))
+    got = []
+    for names, few, rows, cells in ((0, 256, 1 << 16, 1 << 20), (1 << 12, 256, 1 << 16, 1 << 20), (1 << 12, 1, 2, 9)):
+        for name, value in (("NAMES", names), ("FEW", few), ("ROWS", rows), ("CELLS", cells)):
+            monkeypatch.setattr(spatial_index, name, value)
+        seen = spatial_index.see(spatial_index.nodes(own), frames)
+        got.append(sorted(tuple(r) for r in seen.demand(listed).collect()))
+        rounded = sorted(tuple(r) for r in seen.demand(listed, 1).collect())
+        assert [(f, c, pytest.approx(round(d, 1), abs=0.11), b, w) for f, c, d, _, b, w in got[-1]] == [(f, c, d, b, w) for f, c, d, _, b, w in rounded]
+    assert got[0] == got[1] == got[2] and len({r[0] for r in got[0]}) == 15
+
+
+def test_demand_is_not_joined_with_frames(spark, placed, monkeypatch):  # rows of a view are repeated for its frames where they are made, on several tasks
+    monkeypatch.setattr(spatial_index, "FEW", 1)
+    views_ = [(10 * k + f, *rest) for k in range(50) for f, *rest in views()]
+    frames = spark.createDataFrame(views_, "frame long, " + ", ".join(f"{c} double" for c in spatial_index.MATRIX + spatial_index.ORIGIN))
+    found = spatial_index.see(spatial_index.nodes(placed), frames).demand(placed.select("leaf", "chunk"))
+    above = found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert "Join" not in above and "Window" not in above and "Exchange" not in above, above
+    assert found.rdd.getNumPartitions() == 4  # before: one for all views below FRAMES
