@@ -449,6 +449,31 @@ def test_paraphrases_are_found_on_several_blocks(spark, monkeypatch):
     assert len(want) > 250 and len(want & got) >= 0.95 * len(want)
 
 
+def test_a_basis_of_a_small_sample_searches_everything(spark, monkeypatch):
+    """The pipeline's stage with the basis fitted on about a tenth of the corpus: every text is searched, and recall stays."""
+    import random
+
+    monkeypatch.setattr(decontam, "SAMPLE", 512)
+    r = random.Random(11)
+    word = lambda: f"{r.choice('abcdefghij')}{r.randrange(2000)}"
+    items = [(k, " ".join(word() for _ in range(r.randrange(16, 50))) + ". " + " ".join(word() for _ in range(4)) + ".") for k in range(200)]
+    docs_, want = [], set()
+    for k in range(900):
+        text = [word() for _ in range(150)]
+        if k % 3 == 0:
+            own = items[k % 200][1].split()
+            kept = set(r.sample(range(len(own) - 4), round(0.65 * (len(own) - 4)))) | set(range(len(own) - 4, len(own)))
+            text[60:60] = [w if i in kept else word() for i, w in enumerate(own)]
+            if decontam.found(decontam.items_of([items[k % 200]])[0], decontam.words_of([" ".join(text).encode()]).hash.tolist()):
+                want.add(k)
+        docs_.append((k, " ".join(text)))
+    made = spark.createDataFrame(docs_, "doc_id long, text string")
+    assert decontam.inverse_weights(made)[1] > 4000
+    kept = {x.doc_id for x in decontam.without_contaminated(made, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    gone = set(range(900)) - kept
+    assert len(want) > 250 and len(want & gone) >= 0.9 * len(want) and all(k % 3 == 0 for k in gone)
+
+
 def test_decontamination_finds_what_brute_force_finds(spark):
     d = "/root/testdata/sf0.001"
     docs_, items = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
